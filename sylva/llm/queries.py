@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets, simhash
+from . import bpe, langid, mixing, recompression, secrets, simhash, warc
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "html")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -33,7 +41,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op6_secret_scan, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op2_mix_sources": r"""
@@ -62,5 +70,26 @@ rated AS (
 SELECT doc_id, size, source_size, target, ((((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24)) * size)::BIGINT AS taken,
        (((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24))::INTEGER AS copies
 FROM rated
+""",
+    "op7_substring_dedup": r"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS name FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)),
+firsts AS (SELECT name, min(doc_id) AS first FROM windows GROUP BY name),
+hits AS (SELECT DISTINCT doc_id, p FROM windows JOIN firsts USING (name) WHERE doc_id > first),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM hits),
+gone AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+""",
+    "op8_warc_round_trip": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
 """,
 }
