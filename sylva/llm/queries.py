@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, recompression, secrets, simhash, warc
+from . import bpe, langid, mixing, recompression, secrets, simhash, spotsigs, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op5_spotsigs, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op2_mix_sources": r"""
@@ -70,6 +74,23 @@ rated AS (
 SELECT doc_id, size, source_size, target, ((((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24)) * size)::BIGINT AS taken,
        (((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24))::INTEGER AS copies
 FROM rated
+""",
+    "op5_spotsigs": rf"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS after, first(coalesce(text, '')) OVER (ORDER BY doc_id) AS top FROM documents),
+edits AS (SELECT doc_id, length(text) AS n, text, coalesce(after, top) AS following, left(text, (length(text) - length(text) // 4)::INT) || left(coalesce(after, top), (length(text) // 4)::INT) AS edited FROM base),
+texts AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits UNION ALL SELECT doc_id, 2, following FROM edits),
+words AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM texts),
+content AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({spotsigs._STOP})) AS p FROM words),
+spots AS (
+  SELECT doc_id, kind, w, CASE WHEN len(w) < {spotsigs.SHORT} THEN [] ELSE flatten([[left(md5(concat_ws(' ', w[a], w[p[k]], w[p[k + 1]])), {spotsigs.DIGITS})
+    FOR a IN range(CASE WHEN k = 1 THEN 1 ELSE p[k - 1] + 1 END, p[k])] FOR k IN range(1, len(p))]) END AS g
+  FROM content),
+sets AS (SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(g) > 0 THEN g ELSE [left(md5(concat_ws(' ', w[i], w[i + 1])), {spotsigs.DIGITS}) FOR i IN range(1, len(w) + 1)] END)) AS s FROM spots),
+wide AS (SELECT doc_id, max(s) FILTER (kind = 0) AS a, max(s) FILTER (kind = 1) AS b, max(s) FILTER (kind = 2) AS c FROM sets GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+       CASE WHEN a = b THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE AS near_edited,
+       CASE WHEN a = c THEN 1.0 WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END::DOUBLE AS near_next
+FROM edits JOIN wide USING (doc_id)
 """,
     "op7_substring_dedup": r"""
 WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
