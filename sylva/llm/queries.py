@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, recompression, secrets, simhash, spotsigs, warc
+from . import bpe, langid, mixing, neargraph, recompression, secrets, simhash, spotsigs, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op5_spotsigs, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op4_embedding_near_dedup, op5_spotsigs, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op2_mix_sources": r"""
@@ -74,6 +78,15 @@ rated AS (
 SELECT doc_id, size, source_size, target, ((((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24)) * size)::BIGINT AS taken,
        (((start + rate * (place + 1)) >> 24) - ((start + rate * place) >> 24))::INTEGER AS copies
 FROM rated
+""",
+    "op4_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON low.x = vec_id LEFT JOIN deg ON deg.x = vec_id
 """,
     "op5_spotsigs": rf"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS after, first(coalesce(text, '')) OVER (ORDER BY doc_id) AS top FROM documents),
