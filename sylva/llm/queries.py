@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neargraph, recompression, secrets, simhash, spotsigs, warc
-from .common import table
+from . import bpe, langid, licenses, mixing, neargraph, recompression, secrets, simhash, spotsigs, warc
+from .common import WORD, table
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree source/language/thousand; short ones stand as licence files, the shorter the
+    higher up."""
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    top = F.coalesce("source", F.lit("none"))
+    lang = F.coalesce("lang", F.lit("none"))
+    leaf = F.concat_ws("/", top, lang, F.floor(F.col("doc_id") / 1000).cast("string"))
+    notice = F.concat(F.lit("/LICENSE."), F.col("doc_id").cast("string"))
+    path = F.when(n < 20, F.concat(top, notice)).when(n < 40, F.concat(top, F.lit("/"), lang, notice)).when(n < 60, F.concat(leaf, notice)).otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    return licenses.scan(docs).withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +62,43 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_bpe_round_trip, op4_embedding_near_dedup, op5_spotsigs, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_bpe_round_trip, op4_embedding_near_dedup, op5_spotsigs, op6_secret_scan, op7_substring_dedup, op8_warc_round_trip, op9_language_id, op10_simhash_near_dedup)}
+
+
+def _license_sql() -> str:
+    idf, unseen, rows = licenses.weights()
+    words = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in sorted(idf.items()))
+    vectors = ", ".join(f"('{t}', {k}, '{name}', {w!r}::DOUBLE)" for t, k, name, w in rows)
+    return rf"""
+WITH idf(term, idf) AS (VALUES {words}), vectors(term, template, licence, weight) AS (VALUES {vectors}),
+sized AS (SELECT doc_id, text, source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents),
+files AS (
+  SELECT doc_id, text, CASE WHEN n < 20 THEN source || '/LICENSE.' || doc_id WHEN n < 40 THEN source || '/' || lang || '/LICENSE.' || doc_id
+    WHEN n < 60 THEN source || '/' || lang || '/' || doc_id // 1000 || '/LICENSE.' || doc_id ELSE source || '/' || lang || '/' || doc_id // 1000 || '/' || doc_id || '.txt' END AS path
+  FROM sized),
+lines AS (SELECT path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TRIGGER}')) AS ls FROM files),
+wholes AS (SELECT path, CASE WHEN len(ls) > 0 AND regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.LICENCE_FILE}') THEN list_append(ls, text) ELSE ls END AS us FROM lines),
+units AS (SELECT path, unnest(range(len(us))) AS unit, unnest(us) AS text FROM wholes),
+counted AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT path, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
+tfidf AS (SELECT path, unit, term, tf * coalesce(idf, {unseen!r}::DOUBLE) AS v FROM counted LEFT JOIN idf USING (term)),
+norms AS (SELECT path, unit, sqrt(sum(v * v)) AS norm FROM tfidf GROUP BY ALL),
+dots AS (SELECT path, unit, template, licence, sum(v * weight) AS dot FROM tfidf JOIN vectors USING (term) GROUP BY ALL),
+best AS (SELECT path, licence, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY path ORDER BY round(dot / norm, 6) DESC, licence) AS k FROM dots JOIN norms USING (path, unit)),
+own AS (SELECT path, licence, score FROM best WHERE k = 1 AND score >= {licenses.LEAST}),
+declared AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS above, licence AS inherited,
+         row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, licence) AS k
+  FROM own WHERE regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.LICENCE_FILE}')),
+climbs AS (SELECT path, above, inherited, row_number() OVER (PARTITION BY path ORDER BY length(above) DESC) AS k
+  FROM files JOIN declared ON declared.k = 1 AND starts_with(path, above || '/')),
+nearest AS (SELECT path, above, inherited FROM climbs WHERE k = 1)
+SELECT files.doc_id, files.path, licence, score, CASE WHEN licence IS NULL THEN inherited END AS inherited, CASE WHEN licence IS NULL THEN above END AS from_dir, coalesce(licence, inherited) AS effective
+FROM files LEFT JOIN own USING (path) LEFT JOIN nearest USING (path)
+"""
+
 
 SQL = {
+    "op1_license_scan": _license_sql(),
     "op2_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
