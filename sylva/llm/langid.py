@@ -128,10 +128,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the languages of ``docs``, from ``limit`` texts each (lowest hash of the id); rows without text, lang
     or letters teach nothing. Only the labels are read to choose the rows, and the cut is made before the shuffle."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    some = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).select(F.col(lang_col).alias("_lang"))
+    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
+    # Eight times the rows wanted, by hash: so few that ranking them is cheap for a language of any size.
+    counts = counts.select(F.col(lang_col).alias("lang"), (F.lit(8.0 * limit) / F.col("count")).alias("share"))
     first = Window.partitionBy("lang").orderBy("h", "id")
-    picked = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit)
-    picked = picked.join(some, F.col("lang") == F.col("_lang"), "left_semi").select("id", "lang").distinct()
+    drawn = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).join(F.broadcast(counts), "lang")
+    drawn = drawn.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
+    picked = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select("id", "lang").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["id", "lang"])
 
     def work(batches):
