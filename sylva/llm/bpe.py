@@ -13,8 +13,10 @@ emptied when it holds ``MEMO_CHUNKS``; that bounds memory and never changes a re
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+from unicodedata import is_normalized
 
 import pyarrow as pa
 import regex
@@ -41,17 +43,18 @@ class TrieEncoder:
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {v: k for k, v in (self.ids | self.special).items()}
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.bytes = self._byte_letters()
+        self.shown = dict(enumerate(self._byte_letters()))
         inner = {t for t in self.ids if not t.endswith(END) and self._merge(list(t)) == [t]}
         final = {t[: -len(END)] for t in self.ids if t.endswith(END) and self._merge([*t[: -len(END) - 1], t[-len(END) - 1 :]]) == [t]}
         # By every tail of a token: None, or for a token itself the tokens seen before it and whether both stay apart.
         self.inner: dict[str, dict[str, bool] | None] = {t[k:]: None for t in inner for k in range(len(t))} | {t: {} for t in inner}
         self.final: dict[str, dict[str, bool] | None] = {t[k:]: None for t in final for k in range(len(t))} | {t: {} for t in final}
         self.memo: dict[str, tuple[str, str]] = {"": ("", "")}
+        self.said = {t: str(n) for t, n in self.ids.items()}.__getitem__
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -126,28 +129,34 @@ class TrieEncoder:
         return out
 
     def words_of(self, chunk: str) -> list[str]:
-        """The words, in byte letters, of a text without special tokens."""
+        """The words, in byte letters, of a text without special tokens. What is all letters, but perhaps its last
+        character, needs no pattern."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if not low.isprintable():
+                return [w.translate(self.shown) for w in PIECES.findall(low)]
+            return [low[:-1], low[-1]] if low[:-1].isalpha() and not low[-1].isalnum() and low[-1] != " " else PIECES.findall(low)
         if PLAIN.search(chunk):
             return [w for w, _ in self.split(self.normalise(chunk))]
-        if chunk.isascii() and chunk.isprintable():
-            return PIECES.findall(chunk.lower())
-        letters = self.bytes
-        return ["".join([letters[b] for b in w.encode()]) for w in PIECES.findall(self.normalise(chunk))]
+        low = chunk.lower() if is_normalized("NFC", chunk) else self.normalise(chunk)
+        shown = self.shown
+        return [w.encode().decode("latin-1").translate(shown) for w in ([low] if low.isalpha() else PIECES.findall(low))]
 
     def solve(self, chunks) -> None:
         """Fills the memo for chunks (stretches of text between white space): ids and decoded text of each."""
-        cut, words = {}, set()
-        for chunk in chunks:
-            parts = self.split_special.split(chunk) if self.split_special and "<|" in chunk else [chunk]
-            cut[chunk] = own = [p if p in self.special else self.words_of(p) for p in parts]
-            for p in own:
-                if p.__class__ is list:
-                    words.update(p)
-        tokens = self.encode_words(words)
-        ids, memo = self.ids, self.memo
-        for chunk, parts in cut.items():
-            numbers = [n for p in parts for n in ([self.special[p]] if p.__class__ is str else [ids[t] for w in p for t in tokens[w]])]
-            memo[chunk] = " ".join(map(str, numbers)), self.decode(numbers)
+        cut = {c: self.words_of(c) for c in chunks if "<|" not in c}
+        marked = {c: [[p] if p in self.special else self.words_of(p) for p in self.split_special.split(c)] for c in chunks if "<|" in c}
+        words = set().union(*cut.values(), *(p for parts in marked.values() for p in parts)).difference(self.special)
+        out = {w: (" ".join(map(self.said, tokens)), " ".join(tokens)) for w, tokens in self.encode_words(words).items()}
+        out |= {t: (str(n), t) for t, n in self.special.items()}
+        memo = self.memo
+        for c, own in cut.items():
+            memo[c] = out[own[0]] if len(own) == 1 else (" ".join([out[w][0] for w in own]), " ".join([out[w][1] for w in own]))
+        for c, parts in marked.items():
+            own = [out[w] for p in parts for w in p]
+            memo[c] = " ".join([x[0] for x in own]), " ".join([x[1] for x in own])
 
     def decode(self, numbers) -> str:
         """The text of token ids; ids outside the vocabulary are left out. The format defines no decoder, so tokens
@@ -183,6 +192,7 @@ _ENCODERS: dict[str, TrieEncoder] = {}
 def encoder(path: str) -> TrieEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = TrieEncoder(path)
+        gc.freeze()  # the vocabulary stays; no collection need look at it again
     return _ENCODERS[path]
 
 
