@@ -3,7 +3,8 @@
 Equal vectors of a label become one node that carries its count. A label with many nodes is cut into shards around
 centroids, each node belonging to its ``overlap`` nearest ones. In every shard the nodes' nearest candidates are pruned
 by the robust rule (a candidate goes when a kept one is ``ALPHA`` times closer to it than the node is), and a node's
-lists from all its shards are united. Each node then is a query: a greedy beam search from the shard's medoids, then
+lists from all its shards are united. Nearest-neighbour lists leave some nodes of a dense group without any link into
+them, so each node is also linked with the two next to it in the order of nearest medoid and similarity to it. Each node then is a query: a greedy beam search from the shard's medoids, then
 an expansion through everything within ``SLACK`` of the threshold. What it finds is verified by cosine in double
 precision. A pair is counted in the first shard that both its nodes share, where also a spanning star of each
 component is kept, so a dense group costs rows in proportion to its members.
@@ -23,12 +24,18 @@ from .common import Scratch, connected_components
 from .simhash import forest
 
 LEAST = 0.98
-#: Nodes per shard aimed at; vectors drawn (by hash order) to place centroids; Lloyd steps on them.
-SHARD_ROWS, SAMPLE, LLOYD = 1500, 20_000, 4
-OVERLAP, CANDIDATES, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 3, 40, 20, 1.2, 32, 32, 0.03
+#: Nodes per shard aimed at; vectors drawn (by hash order) to place centroids; Lloyd steps on them; centroids more alike
+#: than this are one, so that a dense group stays together.
+SHARD_ROWS, SAMPLE, LLOYD, ALIKE = 500, 20_000, 4, 0.85
+OVERLAP, CANDIDATES, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 2, 24, 12, 1.2, 16, 8, 0.03
+#: Nodes of a shard that one task works for; a larger shard (a dense group) goes to several tasks, whole to each.
+PART_ROWS = 4096
+#: Tasks for all shards; more shards than that share tasks.
+MOST_TASKS = 20_000
 #: Queries of the recall audit, and what it must reach.
 AUDIT, LEAST_RECALL, TRIES = 100, 0.97, 3
-CHUNK = 256
+#: Cells of a queries-by-nodes table in memory.
+CELLS = 1 << 22
 
 
 def _unit(rows) -> np.ndarray:
@@ -50,19 +57,28 @@ def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray) -> np.n
     return np.where(np.take_along_axis(kept, order, 1), np.take_along_axis(candidates, order, 1), -1)
 
 
-def build(x: np.ndarray) -> np.ndarray:
-    """Neighbours of every node of a shard, by position."""
+def _chunks(own: np.ndarray, n: int):
+    step = int(np.clip(CELLS // max(n, 1), 8, 1024))
+    for at in range(0, len(own), step):
+        yield own[at : at + step]
+
+
+def build(x: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Neighbours of the nodes ``own`` of a shard, by position: pruned nearest ones and those next in order."""
     n, width = len(x), min(len(x), CANDIDATES)
     x = x.astype(np.float32)
-    out = np.full((n, DEGREE), -1)
-    for at in range(0, n, CHUNK):
-        own = np.arange(at, min(n, at + CHUNK))
-        near = x[own] @ x.T
+    to_start = np.concatenate([x[at : at + 4096] @ x[starts].T for at in range(0, n, 4096)])
+    order = np.lexsort((to_start.max(1), to_start.argmax(1)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    lists = []
+    for part in _chunks(own, n):
+        near = x[part] @ x.T
         top = np.argpartition(-near, width - 1, axis=1)[:, :width]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-        pruned = robust_prune(x, own, top)
-        out[own, : pruned.shape[1]] = pruned
-    return out
+        beside = [order[np.clip(place[part] + step, 0, n - 1)][:, None] for step in (-1, 1)]
+        lists.append(np.concatenate([robust_prune(x, part, top), *beside], axis=1))
+    return np.concatenate(lists) if lists else np.empty((0, 1), np.int64)
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -131,44 +147,47 @@ def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, own: np.ndarray
     return np.nonzero(score >= least - 1e-4)
 
 
+def _own(frame: pd.DataFrame) -> np.ndarray:
+    """Positions of the nodes that this task works for."""
+    parts, part = int(frame["parts"].iloc[0]), int(frame["part"].iloc[0])
+    return np.flatnonzero((frame["id"].to_numpy() * 2654435761 >> 16) % parts == part)
+
+
+def _lists_of_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
+    ids, x, own = frame["id"].to_numpy(), _unit(frame["embedding"]), _own(frame)
+    graph = build(x, own, medoids(x))
+    return pd.DataFrame({"id": ids[own], "neighbours": [ids[g[g >= 0]] for g in graph]})
+
+
 def _search_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Per member: rows linked to it as counted in this shard, and the smallest node of its component here."""
-    shard = key[-1]
+    """Per node worked for: rows linked to it as counted in this shard, and spanning links found here."""
+    shard = frame["shard"].iloc[0]
     frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, exact = frame["id"].to_numpy(), _unit(frame["embedding"])
+    ids, exact, own = frame["id"].to_numpy(), _unit(frame["embedding"]), _own(frame)
     x = exact.astype(np.float32)
     lists = frame["neighbours"].tolist()
-    width = max(1, max(map(len, lists)))
-    graph = np.full((len(ids), width), -1)
-    for k, own in enumerate(lists):
-        at = np.searchsorted(ids, own)
+    graph = np.full((len(ids), max(1, max(map(len, lists)))), -1)
+    for k, near in enumerate(lists):
+        at = np.searchsorted(ids, near)
         at[at == len(ids)] = 0
-        graph[k, : len(own)] = np.where(ids[at] == own, at, -1)
+        graph[k, : len(near)] = np.where(ids[at] == near, at, -1)
     starts = medoids(x)
-    pairs = np.empty(0, np.int64)
-    for at in range(0, len(ids), CHUNK):
-        i, j = search(x, graph, starts, np.arange(at, min(len(ids), at + CHUNK)))
-        i = i + at
-        pairs = np.union1d(pairs, (np.minimum(i, j) * len(ids) + np.maximum(i, j))[i != j])
-    i, j = pairs // len(ids), pairs % len(ids)
     shards, count = np.array(frame["shards"].tolist()), frame["n"].to_numpy()
     linked = np.zeros(len(ids), np.int64)
-    ends_a, ends_b = [], []
-    for at in range(0, len(i), 50_000):
-        a, b = i[at : at + 50_000], j[at : at + 50_000]
-        sure = np.einsum("pd,pd->p", exact[a], exact[b]) >= LEAST
-        a, b = a[sure], b[sure]
-        common = np.where(shards[a][:, :, None] == shards[b][:, None, :], shards[a][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-        here = common == shard
-        np.add.at(linked, a[here], count[b[here]])
-        np.add.at(linked, b[here], count[a[here]])
-        ends_a.append(a)
-        ends_b.append(b)
-    root = np.arange(len(ids))
-    if ends_a:
-        node, low = forest(np.concatenate(ends_a), np.concatenate(ends_b))
-        root[node] = low
-    return pd.DataFrame({"id": ids, "linked": linked, "root": ids[root]})
+    a = b = np.empty(0, np.int64)
+    for part in _chunks(own, len(ids)):
+        i, j = search(x, graph, starts, part)
+        i = part[i]
+        for at in range(0, len(i), 50_000):
+            p, q = i[at : at + 50_000], j[at : at + 50_000]
+            sure = (p != q) & (np.einsum("pd,pd->p", exact[p], exact[q]) >= LEAST)
+            p, q = p[sure], q[sure]
+            common = np.where(shards[p][:, :, None] == shards[q][:, None, :], shards[p][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+            here = common == shard
+            np.add.at(linked, p[here], count[q[here]])
+            a, b = forest(np.concatenate([a, p]), np.concatenate([b, q]))
+    return pd.DataFrame({"id": np.concatenate([ids[own], ids[a]]), "linked": np.concatenate([linked[own], np.zeros(len(a), np.int64)]), "root": np.concatenate([ids[own], ids[b]])})
 
 
 def _centroids(x: np.ndarray, k: int) -> np.ndarray:
@@ -179,7 +198,11 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
         np.add.at(sums, part, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    return centres
+    kept = []
+    for k in range(len(centres)):
+        if not kept or (centres[kept] @ centres[k]).max() < ALIKE:
+            kept.append(k)
+    return centres[kept]
 
 
 def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -216,16 +239,19 @@ def _dealt(nodes: DataFrame, overlap: int) -> DataFrame:
 
 
 def _links(nodes: DataFrame, overlap: int) -> DataFrame:
+    """``(id, linked, root)``: rows linked to each node, summed over its rows here, and spanning links (id, root)."""
     dealt = Scratch(_dealt(nodes, overlap), "dealt")
+    shard = ["label", "dim", "shard"]
+    sizes = Scratch(dealt.df.groupBy(*shard).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "sizes").df
+    tasks = max(1, min(sizes.agg(F.sum("parts")).first()[0] or 1, MOST_TASKS))
 
-    def lists(key, frame):
-        frame = frame.sort_values("id", kind="stable")
-        ids, graph = frame["id"].to_numpy(), build(_unit(frame["embedding"]))
-        return pd.DataFrame({"id": ids, "neighbours": [ids[g[g >= 0]] for g in graph]})
+    def spread(df):
+        wide = df.join(sizes, shard).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return wide.repartition(tasks, *shard, "part").groupBy(*shard, "part")
 
-    parts = dealt.df.select("label", "dim", "shard", "id", "embedding").groupBy("label", "dim", "shard").applyInPandas(lists, "id long, neighbours array<long>")
+    parts = spread(dealt.df.select(*shard, "id", "embedding")).applyInPandas(_lists_of_shard, "id long, neighbours array<long>")
     union = parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    found = dealt.df.join(union, "id").groupBy("label", "dim", "shard").applyInPandas(_search_shard, "id long, linked long, root long")
+    found = spread(dealt.df.join(union, "id")).applyInPandas(_search_shard, "id long, linked long, root long")
     out = Scratch(found, "found").df
     dealt.drop()
     return out
