@@ -72,12 +72,12 @@ def weights() -> tuple[dict[str, float], float, list[tuple[str, int, str, float]
     return idf, math.log(1 + n) + 1, rows
 
 
-def units(files: DataFrame) -> DataFrame:
-    """``path, unit, text``: every header line, and the whole of a licence file. ``files`` has path and text."""
+def header_units():
+    """The array of a file's units: every header line, and the whole of a licence file. Needs path and text."""
     name = F.substring_index("path", "/", -1)
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(TRIGGER))
-    whole = F.when(name.rlike(LICENCE_FILE) & (F.size(lines) > 0), F.array("text")).otherwise(F.array().cast("array<string>"))
-    return files.select("path", F.posexplode(F.concat(lines, whole)).alias("unit", "text"))
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)), F.concat(lines, F.when(F.col("text").rlike(TRIGGER), F.array("text")).otherwise(none))).otherwise(lines)
 
 
 def classify(unit_rows: DataFrame) -> DataFrame:
@@ -108,7 +108,10 @@ def scan(files: DataFrame) -> DataFrame:
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing. Rows that
     repeat a path count as one file with the units of all, and each is returned.
     """
-    found = classify(units(files.select("path", "text").where("path is not null"))).where(F.col("score") >= LEAST)
+    # Each text is read once: what the later steps need of it is written as paths and header units.
+    slim = Scratch(files.select("path", header_units().alias("units")), "headers").df
+    files = slim
+    found = classify(slim.where("path is not null").select("path", F.posexplode("units").alias("unit", "text"))).where(F.col("score") >= LEAST)
     own = found.groupBy("path").agg(F.min(F.struct(-F.col("score"), "licence")).alias("x")).select("path", F.col("x.licence").alias("licence"), (-F.col("x.col1")).alias("score"))
     own = Scratch(own, "licences").df
     declared = own.where(F.substring_index("path", "/", -1).rlike(LICENCE_FILE)).groupBy(directory_of().alias("above")).agg(F.min(F.struct(-F.col("score"), "licence")).alias("x"))

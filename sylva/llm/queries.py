@@ -12,13 +12,13 @@ from .common import WORD, table
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of a tree source/language/thousand; short ones stand as licence files, the shorter the
     higher up."""
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
     top = F.coalesce("source", F.lit("none"))
     lang = F.coalesce("lang", F.lit("none"))
     leaf = F.concat_ws("/", top, lang, F.floor(F.col("doc_id") / 1000).cast("string"))
     notice = F.concat(F.lit("/LICENSE."), F.col("doc_id").cast("string"))
-    path = F.when(n < 20, F.concat(top, notice)).when(n < 40, F.concat(top, F.lit("/"), lang, notice)).when(n < 60, F.concat(leaf, notice)).otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    docs = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    place = F.when(F.col("n") < 20, F.concat(top, notice)).when(F.col("n") < 40, F.concat(top, F.lit("/"), lang, notice)).when(F.col("n") < 60, F.concat(leaf, notice))
+    docs = docs.withColumn("path", place.otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))).select("path", "text")
     return licenses.scan(docs).withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long"))
 
 
