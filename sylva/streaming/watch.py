@@ -136,7 +136,7 @@ def apply_changes(project, changes: DataFrame, reresolve: bool = False) -> dict:
     parents = structs.select(F.col("id").alias("parent_id"), F.col("uid").alias("parent_uid"))
     old = structs.join(parents, "parent_id", "left")
     dropped = spark.createDataFrame([(p,) for p in gone], "gone string")
-    below = old.select("id", "path").withColumn("gone", F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), k -> array_join(slice(split(path, '/'), 1, k), '/'))"))).join(F.broadcast(dropped), "gone", "left_semi")
+    below = old.select("id", "path").withColumn("gone", F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), k -> array_join(slice(split(path, '/'), 1, k), '/'))"))).join(dropped, "gone", "left_semi")
     doomed = save(below.select("id").unionByName(old.join(touched, "path", "left_semi").where("type <> 'directory'").select("id")).distinct(), "doomed")
     kept = old.join(doomed, "id", "left_anti")
     name = os.path.basename(os.path.abspath(project.root))
