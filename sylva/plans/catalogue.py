@@ -15,7 +15,7 @@ from ..operators import graph, reuse, search, tree
 from ..operators.resolve import Resolver
 from ..schema import CALL, STALE
 from ..scratch import save
-from ..sources.ignore import compile_rule
+from ..sources.ignore import ignored
 
 QUERIES, SQL = {}, {}
 
@@ -201,22 +201,6 @@ def ignore_filter(spark, sf_dir):
     return rows.select("page_id", ignored("path", URL_RULES).alias("ignored"))
 
 
-def ignored(path: str, lines) -> F.Column:
-    rules = [r for line in lines if (r := compile_rule(line))]
-    java = lambda p: "^(?:" + p.pattern.replace("\\Z", "") + ")$"
-
-    def verdict(part, is_dir):
-        out = F.lit(False)
-        for pattern, negated, only_dirs in rules:
-            hit = part.rlike(java(pattern)) & (is_dir | F.lit(not only_dirs))
-            out = F.when(hit, F.lit(not negated)).otherwise(out)
-        return out
-
-    parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("p"), (k < F.size(parts)).alias("d")))
-    return F.exists(above, lambda x: verdict(x["p"], x["d"]))
-
-
 @query("""SELECT event_id, json_extract(props, '$.k')::INT AS arity, event_type AS name FROM events""")
 def call_site_explode(spark, sf_dir):
     """Call sites out of JSON, widened to the full row with defaults."""

@@ -6,6 +6,9 @@ import os
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Rules that hold in every project.
 HARD = (
     ".DS_Store", "*.exe", "*.bin", "*.dll", "*.so", "*.dylib", "*.pyc", "*.pyo", "*.pyd", "__pycache__/", ".git/", ".svn/", ".hg/",
@@ -90,3 +93,20 @@ class IgnoreRules:
             if (is_dir or not only_dirs) and pattern.match(path):
                 ignored = not negated
         return ignored
+
+
+def ignored(path: str, lines) -> Column:
+    """The rules as a column expression over relative paths: every compiled pattern is a regular expression, the last
+    that matches decides, and a path below an ignored directory stays ignored."""
+    rules = [r for line in lines if (r := compile_rule(line))]
+    whole = lambda p: "^(?:" + p.pattern.replace("\\Z", "") + ")$"
+
+    def verdict(part, is_dir):
+        out = F.lit(False)
+        for pattern, negated, only_dirs in rules:
+            out = F.when(part.rlike(whole(pattern)) & (is_dir | F.lit(not only_dirs)), F.lit(not negated)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("p"), (k < F.size(parts)).alias("d")))
+    return F.exists(above, lambda x: verdict(x["p"], x["d"]))

@@ -78,6 +78,12 @@ class Store:
             fs, path = self._fs(f"{self.root}/{meta['previous']}")
             fs.delete(path, True)
 
+    def update_descriptions(self, said: DataFrame) -> None:
+        """Puts the descriptions of ``said(id, description)`` in place of the stored ones."""
+        structs, edges, vectors = self.tables()
+        new = said.select("id", F.col("description").alias("_new")).dropDuplicates(["id"])
+        self.write(structs.join(new, "id", "left").withColumn("description", F.coalesce("_new", "description")).drop("_new"), edges, vectors)
+
     def _flip(self, meta: dict) -> None:
         fs, temp = self._fs(f"{self.root}/_meta.{uuid.uuid4().hex}")
         stream = fs.create(temp)

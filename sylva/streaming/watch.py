@@ -183,3 +183,26 @@ def watch(project, checkpoint: str | None = None, seconds: float = 1.0):
             apply_changes(project, batch)
 
     return stream.load(project.root).writeStream.foreachBatch(step).option("checkpointLocation", base).trigger(processingTime=f"{seconds} seconds").start()
+
+
+class Watchers:
+    """The running watches by project root; starting one again replaces it."""
+
+    def __init__(self):
+        self.queries = {}
+
+    def start(self, project, **how):
+        root = os.path.abspath(project.root)
+        self.stop(root)
+        self.queries[root] = project.watch(**how)
+        return self.queries[root]
+
+    def stop(self, root: str) -> bool:
+        query = self.queries.pop(os.path.abspath(root), None)
+        if query is not None and query.isActive:
+            query.stop()
+        return query is not None
+
+    def stop_all(self) -> None:
+        for root in list(self.queries):
+            self.stop(root)

@@ -144,5 +144,41 @@ def test_watch(spark, root, tmp_path):
     sound(project)
 
 
+def test_shell_and_updates(spark, root, capsys):
+    from sylva.__main__ import main
+    from sylva.streaming.watch import Watchers
+
+    assert main(["status", str(root)], spark) == 1
+    assert main(["parse", str(root), "--language", "python"], spark) == 0
+    assert main(["skeleton", str(root), "--depth", "1"], spark) == 0
+    assert main(["search", str(root), "--query", "whisper", "--filter", "method"], spark) == 0
+    assert main(["inspect", str(root), "--ids", "tools.py"], spark) == 0
+    said = capsys.readouterr().out
+    assert "18 structs" in said and "|tools.py" in said and "(method)" in said
+    project = Project(spark, str(root))
+    structs = project.store.read("structs")
+    shout = structs.where("name = 'shout'").first()["id"]
+    project.store.update_descriptions(spark.createDataFrame([(shout, "louder")], "id string, description string"))
+    assert [r["uid"] for r in project.store.read("structs").where("description = 'louder'").collect()] == ["tools.py#shout(...)"]
+    assert main(["export", str(root)], spark) == 0 and "louder" in (root / "sylva.lock.json").read_text()
+    watchers = Watchers()
+    first, second = watchers.start(project), watchers.start(project)
+    assert not first.isActive and second.isActive
+    watchers.stop_all()
+    assert not second.isActive and main(["clean", str(root)], spark) == 0
+
+
+def test_incompatible_store_is_refused_then_rebuilt(spark, root):
+    project = Project(spark, str(root))
+    project.parse()
+    meta = root / ".sylva" / "store" / "_meta.json"
+    meta.write_text(meta.read_text().replace('"format": 2', '"format": 1'))
+    (root / ".sylva" / "store" / "._meta.json.crc").unlink(missing_ok=True)
+    with pytest.raises(StoreError):
+        project.status()
+    assert project.parse()["carried"] == 0
+    assert project.store.is_compatible()
+
+
 def test_references():
     assert coerce_list('["a", "b"]') == ["a", "b"] and coerce_list("a, b") == ["a", "b"] and coerce_list(["x"]) == ["x"] and coerce_list("f(a, b)") == ["f(a, b)"]
