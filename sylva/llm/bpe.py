@@ -7,8 +7,8 @@ trie in depth-first order (sorted, a stack holding the last tokens along the cur
 once from nodes above it, and words with a common prefix share its states. Cost is linear in trie nodes, also for
 words of any length.
 
-Documents are independent, so there is no shuffle. Solved chunks are memoised in each Python worker, in a memo that is
-emptied when it holds ``MEMO_CHUNKS``; that bounds memory and never changes a result.
+Documents are independent, so there is no shuffle. Solved chunks are memoised in each Python worker; once there are
+``MEMO_CHUNKS``, those not in use are forgotten. That bounds memory and never changes a result.
 """
 
 from __future__ import annotations
@@ -23,13 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_CHUNKS = 250_000
+from .common import small_batches
+
+MEMO_CHUNKS = 150_000
+#: Pairs of tokens remembered as staying apart or not; forgotten likewise when there are more.
+MEMO_PAIRS = 600_000
 END = "</w>"
 #: Below this code point the library's normaliser and splitter agree with Python's; above, the library's own are used.
 PLAIN = regex.compile(r"[^\x00-ɏ]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters whose words are solved together.
-TOGETHER = 6_000_000
+TOGETHER = 3_000_000
 
 
 class TrieEncoder:
@@ -50,11 +54,13 @@ class TrieEncoder:
         self.shown = dict(enumerate(self._byte_letters()))
         inner = {t for t in self.ids if not t.endswith(END) and self._merge(list(t)) == [t]}
         final = {t[: -len(END)] for t in self.ids if t.endswith(END) and self._merge([*t[: -len(END) - 1], t[-len(END) - 1 :]]) == [t]}
-        # By every tail of a token: None, or for a token itself the tokens seen before it and whether both stay apart.
-        self.inner: dict[str, dict[str, bool] | None] = {t[k:]: None for t in inner for k in range(len(t))} | {t: {} for t in inner}
-        self.final: dict[str, dict[str, bool] | None] = {t[k:]: None for t in final for k in range(len(t))} | {t: {} for t in final}
+        # Every tail of a token gives -1, a token itself its id.
+        self.inner = {t[k:]: -1 for t in inner for k in range(1, len(t))} | {t: self.ids[t] for t in inner}
+        self.final = {t[k:]: -1 for t in final for k in range(1, len(t))} | {t: self.ids[t + END] for t in final}
+        self.length = {self.ids[t]: len(t) for t in inner} | {self.ids[t + END]: len(t) for t in final}
+        self.apart: dict[int, bool] = {}
         self.memo: dict[str, tuple[str, str]] = {"": ("", "")}
-        self.said = {t: str(n) for t, n in self.ids.items()}.__getitem__
+        self.said = {n: str(n) for n in self.ids.values()}.__getitem__
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -81,32 +87,34 @@ class TrieEncoder:
             parts = out
         return parts
 
-    def _stay_apart(self, a: str, b: str, final: bool) -> bool:
-        tail = [*b[:-1], b[-1] + END] if final else [*b]
-        return self._merge([*a, *tail]) == [a, b + END * final]
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether the merges leave token a alone when token b follows."""
+        if len(self.apart) >= MEMO_PAIRS:
+            self.apart.clear()
+        left, right = self.names[a], self.names[b]
+        tail = [*right[: -len(END) - 1], right[-len(END) - 1 :]] if right.endswith(END) else [*right]
+        ok = self.apart[a << 20 | b] = self._merge([*left, *tail]) == [left, right]
+        return ok
 
-    def _last(self, word: str, end: int, before: list[str], final: bool) -> str:
+    def _last(self, word: str, end: int, before: list[int], tails: dict[str, int]) -> int:
         """The last token of word[:end]; before[k] is that of word[:k]."""
-        tails = self.final if final else self.inner
         for k in range(end - 1, -1, -1):
-            t = word[k:end]
-            known = tails.get(t, False)
-            if known is False:
+            n = tails.get(word[k:end])
+            if n is None:
                 break
-            if known is not None:
+            if n >= 0:
                 if not k:
-                    return t
-                ok = known.get(before[k])
-                if ok is None:
-                    ok = known[before[k]] = self._stay_apart(before[k], t, final)
-                if ok:
-                    return t
+                    return n
+                ok = self.apart.get(before[k] << 20 | n)
+                if self._stay_apart(before[k], n) if ok is None else ok:
+                    return n
         raise ValueError(f"the vocabulary has no token for the end of {word[:end][-20:]!r}")
 
-    def encode_words(self, words) -> dict[str, list[str]]:
-        """Tokens of each distinct word (in byte letters): the trie's depth-first traversal."""
-        out: dict[str, list[str]] = {}
-        path, before, inner = "", [""], self.inner
+    def encode_words(self, words) -> dict[str, list[int]]:
+        """Token ids of each distinct word (in byte letters): the trie's depth-first traversal."""
+        out: dict[str, list[int]] = {}
+        inner, final, length, apart = self.inner, self.final, self.length, self.apart
+        path, before = "", [-1]
         for word in sorted(words):
             shared = 0
             top = min(len(path), len(word) - 1)
@@ -115,16 +123,15 @@ class TrieEncoder:
             del before[shared + 1 :]
             for end in range(shared + 1, len(word)):
                 # Most often the letter just extends the last token.
-                k = end - 1 - len(before[-1])
-                t = word[k:end]
-                known = inner.get(t)
-                before.append(t if known is not None and (not k or known.get(before[k])) else self._last(word, end, before, False))
+                k = end - 1 - length[before[-1]] if end > 1 else 0
+                n = inner.get(word[k:end], -1)
+                before.append(n if n >= 0 and (not k or apart.get(before[k] << 20 | n)) else self._last(word, end, before, inner))
             path = word[: len(word) - 1]
-            t = self._last(word, len(word), before, True)
-            tokens, k = [t + END], len(word) - len(t)
+            n = self._last(word, len(word), before, final)
+            tokens, k = [n], len(word) - length[n]
             while k:
                 tokens.append(before[k])
-                k -= len(before[k])
+                k -= length[before[k]]
             out[word] = tokens[::-1]
         return out
 
@@ -149,7 +156,8 @@ class TrieEncoder:
         cut = {c: self.words_of(c) for c in chunks if "<|" not in c}
         marked = {c: [[p] if p in self.special else self.words_of(p) for p in self.split_special.split(c)] for c in chunks if "<|" in c}
         words = set().union(*cut.values(), *(p for parts in marked.values() for p in parts)).difference(self.special)
-        out = {w: (" ".join(map(self.said, tokens)), " ".join(tokens)) for w, tokens in self.encode_words(words).items()}
+        named = self.names.__getitem__
+        out = {w: (" ".join(map(self.said, tokens)), " ".join(map(named, tokens))) for w, tokens in self.encode_words(words).items()}
         out |= {t: (str(n), t) for t, n in self.special.items()}
         memo = self.memo
         for c, own in cut.items():
@@ -176,8 +184,7 @@ class TrieEncoder:
             chunks = set().union(*cut)
             missing = chunks.difference(self.memo)
             if len(self.memo) + len(missing) > MEMO_CHUNKS:
-                self.memo = {"": ("", "")}
-                missing = chunks
+                self.memo = {c: self.memo[c] for c in chunks.difference(missing)}  # what is in use stays
             self.solve(missing)
             memo = self.memo
             for own in cut:
@@ -202,18 +209,32 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stretches(batches):
+    """Ids and texts of some TOGETHER characters at a time, whatever the size of the Arrow batches they come in."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for at in range(0, len(b), 256):
+            ids.append(b.column(0).slice(at, 256))
+            texts += b.column(1).slice(at, 256).to_pylist()
+            size += sum(len(t) for t in texts[-len(ids[-1]) :] if t)
+            if size >= TOGETHER:
+                yield pa.concat_arrays(ids), texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
+
+
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>, decoded)`` of every row: the encoding and its decoding. Null texts are empty."""
 
     def work(batches):
         e = encoder(path)
-        for b in batches:
-            ids, decoded = [], []
-            for x, y in e.encode_texts(b.column(1).to_pylist()):
-                ids.append([int(n) for n in x.split()])
-                decoded.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        for own, texts in _stretches(batches):
+            said = list(e.encode_texts(texts))
+            ids = pa.array([[int(n) for n in x.split()] for x, _ in said], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([own, ids, pa.array([y for _, y in said], pa.string())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
 
@@ -225,12 +246,13 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         e = encoder(path)
-        for b in batches:
+        for own, texts in _stretches(batches):
             n, a, d = [], [], []
-            for x, y in e.encode_texts(b.column(1).to_pylist()):
+            for x, y in e.encode_texts(texts):
                 n.append(x.count(" ") + 1 if x else 0)
                 a.append(hashlib.sha256(x.encode()).hexdigest())
                 d.append(hashlib.sha256(y.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([own, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

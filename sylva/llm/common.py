@@ -1,86 +1,29 @@
-"""Shared pieces: table reading, scratch tables in the cluster's shared folder, connected components.
-
-Intermediate results that several plans need are written as Parquet below ``spark.checkpoint.dir``, so that a
-lost executor costs only the tasks that ran on it and lineage stays short. Nothing is kept on local disks.
-"""
+"""Shared pieces: table reading, bounded Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of characters other than space and the ASCII control white space: what every operator here calls a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset.
-
-    Raises ValueError on a cluster without the setting, as a machine-local folder would be invisible to executors.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
-    return scratch_root(spark)
-
-
-def new_scratch(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        delete(spark, path)
-
+from ..scratch import Scratch, early_cleanup, new_scratch, save
 
-def delete(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-@contextlib.contextmanager
-def early_cleanup(spark: SparkSession):
-    """While it holds, a finished query's shuffle files are removed at once instead of at the next driver GC."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+__all__ = ["WORD", "Scratch", "connected_components", "early_cleanup", "new_scratch", "save", "small_batches", "table"]
 
+#: A run of characters other than space and the ASCII control white space: what every operator here calls a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
-class Scratch:
-    """A written table: ``.df`` reads it, ``.drop()`` deletes it once no plan needs it."""
+#: Bytes of an Arrow batch on its way to Python, unless the session sets its own: several are held at once.
+BATCH_SETTING, BATCH_BYTES, USUAL_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", ("67108864b", "64MB", "64m")
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_scratch(self.spark, name)
-        with early_cleanup(self.spark):
-            df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        delete(self.spark, self.path)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its executor hold of long texts, unless the session has a setting already."""
+    if spark.conf.get(BATCH_SETTING, USUAL_BYTES[0]) in USUAL_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    return Scratch(df, name).df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

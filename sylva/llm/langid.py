@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled texts per language that the classifiers are fitted on; the choice is by hash, the same at every size.
 SAMPLE_PER_LANGUAGE = 400
+#: Labelled texts of all languages together at most (16 KB of features each reach the driver).
+MOST_ROWS = 8000
 #: Languages told apart at most; the rest (by number of texts, then name) is not learned.
 MAX_LANGUAGES = 128
 DIM, STEPS, RATE, DECAY = 1 << 12, 160, 0.5, 1e-4
@@ -130,7 +134,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
     # Eight times the rows wanted, by hash: so few that ranking them is cheap for a language of any size.
-    counts = counts.select(F.col(lang_col).alias("lang"), (F.lit(8.0 * limit) / F.col("count")).alias("share"))
+    found = counts.collect()
+    limit = min(limit, MOST_ROWS // max(1, len(found)))
+    counts = docs.sparkSession.createDataFrame([(r[lang_col], 8.0 * limit / r["count"]) for r in found], "lang string, share double")
     first = Window.partitionBy("lang").orderBy("h", "id")
     drawn = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).join(F.broadcast(counts), "lang")
     drawn = drawn.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
@@ -160,5 +166,6 @@ def predict(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFr
                 names, score, unsure = names + n, score + [s], unsure + [u]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(score or [[]]), pa.float64()), pa.array(np.concatenate(unsure or [[]]).astype(bool))], names=["row", "lang_pred", "score", "ambiguous"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text"))
     return source.mapInArrow(work, f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")

@@ -3,8 +3,8 @@
 The network (numpy, trained here) sees one-hot character classes of a candidate and the text around it: a convolution
 of width 5, maximum and mean pooling, a logistic output. It is trained on labelled findings drawn by rule with a
 fixed seed (keys, tokens and digests against file names, addresses, numbers, long words and repeated characters);
-held-back findings calibrate its output (Platt scaling) and set the threshold: the highest that still keeps
-``RECALL`` of the labelled secrets. Pattern findings always stay; the network adds spans of kind ``model`` among the
+held-back findings calibrate its output (Platt scaling) and set the threshold, one that keeps ``RECALL`` of the
+labelled secrets and otherwise stays far from the harmless ones. Pattern findings always stay; the network adds spans of kind ``model`` among the
 candidates that no pattern covers. Texts are scanned whole, row by row, without any shuffle.
 """
 
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The pattern kinds in their listed order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -156,8 +158,12 @@ class CharCnn:
             p = 1 / (1 + np.exp(-(self.scale * z + self.offset)))
             self.scale -= 0.1 * float(((p - truth) * z).mean())
             self.offset -= 0.1 * float((p - truth).mean())
-        kept = np.sort((1 / (1 + np.exp(-(self.scale * z + self.offset))))[truth > 0])
-        self.threshold = float(max(0.5, kept[int((1 - RECALL) * len(kept))])) if len(kept) else 0.5
+        p = 1 / (1 + np.exp(-(self.scale * z + self.offset)))
+        kept, others = np.sort(p[truth > 0]), p[truth == 0]
+        if len(kept):
+            # Any threshold up to this one keeps RECALL; halfway down to the harmless findings leaves most room.
+            most = float(kept[int((1 - RECALL) * len(kept))])
+            self.threshold = max(0.5, (most + min(most, float(others.max(initial=0.5)))) / 2)
         return self
 
     def probability(self, windows: np.ndarray) -> np.ndarray:
@@ -213,6 +219,7 @@ def scan(docs: DataFrame, model: CharCnn | None = None, id_col: str = "doc_id",
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"])
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
@@ -236,5 +243,6 @@ def redact(docs: DataFrame, model: CharCnn | None = None, text_col: str = "text"
                     done.append("".join([*parts, text[upto:]]) if spans else text)
             yield b.set_column(where, text_col, pa.array(done, b.schema.field(where).type))
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, small_batches
 
 LINK_BITS = 2
 #: Fingerprints drawn (by hash order) to place vantages and radii; a fixed bound, whatever the table's size.
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, fp long")
 
 
@@ -152,7 +153,8 @@ def link(fps: DataFrame) -> DataFrame:
     rows = fps.count()
     depth = min(MAX_DEPTH, max(0, (rows // SHARD_ROWS).bit_length()))
     sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = plant(sample, depth)
+    leaves = [0]
+    tree = plant(sample, depth, leaves)
 
     def deal(batches):
         for b in batches:
@@ -161,7 +163,8 @@ def link(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array(np.full(len(at), shard, np.int32)), pa.array(home)], ["fp", "shard", "home"])
 
     dealt = fps.select("fp").mapInArrow(deal, "fp long, shard int, home boolean")
-    return dealt.groupBy("shard").applyInPandas(_links_of_shard, "a long, b long")
+    # A task for each shard: their few bytes would otherwise be put together into few tasks.
+    return dealt.repartition(leaves[0], "shard").groupBy("shard").applyInPandas(_links_of_shard, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
