@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 WINDOW, ROUNDS = 13, 3
 #: Words handled at once in numpy; texts are never split.
@@ -178,17 +178,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = docs.join(firsts.hint("shuffle_hash"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "text")
 
     named = Scratch(texts.mapInArrow(_emit_anchors, "doc_id long, key long, anchor long"), "anchors")
-    twice = named.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    suspects = Scratch(named.df.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_list("anchor").alias("anchors")), "suspects")
+    # Shared names are written before they are joined back, so that only one shuffle of all names exists at a time.
+    twice = Scratch(named.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
+    suspects = Scratch(named.df.join(twice.df, "anchor").groupBy("doc_id", "key").agg(F.collect_list("anchor").alias("anchors")), "suspects")
     named.drop()
+    twice.drop()
 
-    suspected = docs.join(suspects.df.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "anchors").dropDuplicates(["doc_id", "key"])
+    suspected = docs.join(suspects.df.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "anchors")
     windows = Scratch(suspected.mapInArrow(_emit_windows, "doc_id long, key long, place int, a long, b long"), "windows")
     suspects.drop()
-    first = windows.df.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    later = windows.df.join(first, ["a", "b"]).where("doc_id > first")
+    first = Scratch(windows.df.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first"), "first")
+    later = windows.df.join(first.df, ["a", "b"]).where("doc_id > first")
     found = Scratch(later.groupBy("doc_id", "key").agg(F.collect_list("place").alias("places")), "repeats")
     windows.drop()
+    first.drop()
     copies = marked.where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("places"))
     return found.df.unionByName(copies)
 
@@ -200,6 +203,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null and empty texts have no words; texts under WINDOW words keep all. Rows without an id lose nothing and take
     nothing from others. Rows repeated with id and text are each returned and take nothing from one another.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     found = repeats(base.where("doc_id is not null")).withColumn("hit", F.lit(True))
     both = base.join(found.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "text", "places", F.coalesce("hit", F.lit(False)).alias("hit"))
