@@ -69,8 +69,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Places in the order come from range partitions and their counts. The text is dealt by id once; of the next
     document only the stretch that is needed travels, with its fingerprint.
     """
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    base = docs.select(F.col(id_col).alias("doc_id"), order.alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    none = F.lit(-(1 << 63))
+    order = F.coalesce(F.col(id_col).cast("long"), none)
+    # Both uses below read the same three columns, so that Spark deals the texts out once for both.
+    base = docs.select(order.alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     sizes = base.select("o", "key", F.length("text").alias("n")).distinct()
     at = F.monotonically_increasing_id()
     laid = sizes.repartitionByRange("o", "key").sortWithinPartitions("o", "key")
@@ -89,8 +91,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     if docs.count() != total:
         heads = heads.groupBy("o", "key").agg(F.max(F.struct("head", "next_fp")).alias("x")).select("o", "key", "x.*")
-    both = told.select("doc_id", "o", "key", "n", "text").join(heads.hint("shuffle_hash"), ["o", "key"])
-    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "text", F.expr("concat(left(text, n - n div 4), head)").alias("edited"), "next_fp")
+    both = told.select("o", "key", "n", "text").join(heads.hint("shuffle_hash"), ["o", "key"])
+    both = both.select(F.when(F.col("o") != none, F.col("o")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", F.expr("concat(left(text, n - n div 4), head)").alias("edited"), "next_fp")
     both = with_fingerprint(with_fingerprint(both, "text", "fingerprint"), "edited", "edited_fingerprint")
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
