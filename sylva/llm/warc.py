@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import early_cleanup, new_scratch
+from .common import early_cleanup, new_scratch, small_batches
 
 ROLL_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Base name spaces of record ids; any fixed value serves.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 LEVEL = 1
+#: Tasks that read archives; more files than that share tasks.
+MOST_READERS = 20_000
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -130,14 +132,17 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int = ROL
     response. A row that repeats a page id with the same payload is a revisit to it only if another id is smaller; it
     is else a response again. A row without page id is a response of its own. No rows give no files.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha = F.unhex(F.sha1(F.col("html").cast("binary")))
     keys = base.where(F.octet_length("html") >= min_bytes).select("page_id", sha.alias("sha"))
     firsts = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
     again = keys.join(firsts, "sha").where("page_id > first").select("page_id", "sha", "first").distinct()
-    told = base.withColumn("sha", sha).join(again.hint("shuffle_hash"), ["page_id", "sha"], "left").select("page_id", "url", F.col("first").alias("refers_to"), "html")
-    laid = told.repartitionByRange("page_id").sortWithinPartitions("page_id", "refers_to", "url")
+    # What a page refers to travels to the page's own range in the same shuffle, ahead of it.
+    notes = again.select("page_id", F.lit(0).alias("kind"), "sha", F.col("first").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = base.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
+    laid = notes.unionByName(rows).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
     fs, path = pafs.FileSystem.from_uri(root)
     for d in ("", "/_temporary", "/manifest"):
         fs.create_dir(path + d)
@@ -145,9 +150,16 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int = ROL
     def work(batches):
         task = TaskContext.get()
         out = _Roller(root, task.partitionId(), task.taskAttemptId(), roll_bytes)
+        page, refers = None, {}
         for b in batches:
-            for page_id, url, refers_to, html in zip(*(c.to_pylist() for c in b.columns)):
-                out.add(record(page_id, url, html.encode(), refers_to))
+            for page_id, kind, sha, refers_to, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                if page_id != page:
+                    page, refers = page_id, {}
+                if kind == 0:
+                    refers[sha] = refers_to
+                else:
+                    payload = html.encode()
+                    out.add(record(page_id, url, payload, refers.get(hashlib.sha1(payload).digest()) if refers else None))
         if out.out is not None or out.files:
             out.commit()
         yield pa.RecordBatch.from_pydict({"files": [len(out.files)]}, pa.schema([("files", pa.int64())]))
@@ -202,7 +214,8 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return listed.repartition(F.col("name")).mapInArrow(work, f"{OUT}, url string, html string")
+    # A task for each file: by their size in bytes the few rows of the list would all go to one.
+    return listed.repartition(max(1, min(listed.count(), MOST_READERS))).mapInArrow(work, f"{OUT}, url string, html string")
 
 
 def _batch(rows):
