@@ -24,10 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
+    """Keeps the document with the smallest id of each near-duplicate group; rows without an id stay."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("later"))
+    return docs.join(later, F.col("doc_id") == F.col("later"), "left_anti")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
