@@ -215,8 +215,11 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 def _dealt(nodes: DataFrame, overlap: int) -> DataFrame:
     """Each node in its shards: the columns of nodes, ``shards`` (sorted) and ``shard``."""
-    large = {(r["label"], r["dim"]): r["count"] for r in nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD_ROWS).collect()}
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("label", "dim", "embedding").toPandas()
+    # Only labels of the sample can have centroids, so no more of them than the sample has rows reach the driver.
+    keys = nodes.sparkSession.createDataFrame(list(sample[["label", "dim"]].drop_duplicates().itertuples(index=False, name=None)), "label string, dim int")
+    counts = nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD_ROWS).join(F.broadcast(keys), ["label", "dim"], "left_semi")
+    large = {(r["label"], r["dim"]): r["count"] for r in counts.collect()}
     centres = {}
     for key, own in sample.groupby(["label", "dim"], sort=True):
         if key in large:
