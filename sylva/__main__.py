@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
 
     lines = (("--max-lines",), {"type": int, "default": 500})
     language = (("--language",), {"choices": ["auto", "python", "java", "html"]})
+    add("init", "write a configuration and an ignore file", (("--force",), {"action": "store_true"}))
     add("parse", "build the graph", (("--no-cache",), {"action": "store_true"}), language)
     add("status", "count what the store holds")
     add("skeleton", "show the tree", (("--subpath",), {"default": "."}), (("--depth",), {"type": int, "default": 4}), (("--files-only",), {"action": "store_true"}), lines)
@@ -46,7 +47,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
     project = Project(spark or session(), a.path, language=getattr(a, "language", None))
     try:
-        if a.command == "parse":
+        if a.command == "init":
+            print("\n".join(project.init(a.force)) or "nothing to write")
+        elif a.command == "parse":
             counts = project.parse(use_cache=not a.no_cache)
             print(f"{counts['structs']} structs, {counts['carried']} carried over, {counts['seconds']:.1f} s")
         elif a.command == "status":

@@ -7,6 +7,7 @@ describer, one level of the tree at a time, in Arrow batches.
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable
 
@@ -21,6 +22,27 @@ Describer = Callable[[dict], "str | None"]
 ATTEMPTS, DELAY, BUSY = 3, 2.0, (429, 503)
 
 
+def strategy(name: str | None, known: dict, **options):
+    """The describer (or embedder) of that name, built with those of the options that it takes; None for "none".
+
+    ``known`` maps names to factories; an unknown name raises ValueError.
+    """
+    if name in (None, "none"):
+        return None
+    if name not in known:
+        raise ValueError(f"unknown strategy: {name}; known are {', '.join(sorted(known))}")
+    takes = inspect.signature(known[name]).parameters
+    every = any(p.kind is p.VAR_KEYWORD for p in takes.values())
+    return known[name](**{k: v for k, v in options.items() if every or k in takes})
+
+
+def needs_description(structs: DataFrame) -> DataFrame:
+    """Ids of structs that have no description, or a child other than a field that has none."""
+    bare = structs.where(F.coalesce(F.length("description"), F.lit(0)) == 0)
+    above = bare.where((F.col("type") != FIELD) & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"))
+    return bare.select("id").unionByName(above).distinct()
+
+
 def with_retries(call: Callable[[], str], attempts: int = ATTEMPTS, delay: float = DELAY, sleep=time.sleep) -> str | None:
     """The call's result; tried again, ever more slowly, only while its error's ``code`` says busy; else None."""
     for k in range(attempts):

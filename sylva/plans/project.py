@@ -17,6 +17,7 @@ from ..operators.resolve import resolve
 from ..schema import FIELD, FILE, STRUCTS
 from ..scratch import save
 from ..sources import lockfile
+from ..sources.ignore import DEFAULTS
 from ..sources.tree import read_tree
 from ..store import Store
 
@@ -78,6 +79,29 @@ class Project:
 
     # -- building
 
+    def init(self, force: bool = False) -> list[str]:
+        """Writes a configuration and an ignore file with the defaults, and keeps the store out of version control;
+        files that are there stay unless ``force``. Returns what was written."""
+        rules = "\n".join(DEFAULTS) + "\n"
+        wanted = {"sylva.toml": 'language = "auto"\nuse_lockfile = true\n', ".sylvaignore": rules}
+        done = []
+        for name, text in wanted.items():
+            path = os.path.join(self.root, name)
+            if force or not os.path.exists(path):
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(text)
+                done.append(name)
+        path = os.path.join(self.root, ".gitignore")
+        held = ""
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                held = f.read()
+        if ".sylva/" not in held.splitlines():
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(held + ("" if not held or held.endswith("\n") else "\n") + ".sylva/\n")
+            done.append(".gitignore")
+        return done
+
     def parse(self, use_cache: bool = True, language: str | None = None) -> dict:
         """Builds the graph of the tree as it is now; what is unchanged since the last build keeps its description and
         vector. An incompatible store is wiped first. Returns counts."""

@@ -104,3 +104,15 @@ def test_skeletonize_splices_from_the_end():
     f, g = body.index("def f"), body.index("def g")
     out = describe.skeletonize(body, 0, [(f, f + 17, "M-1", "def f(self)", "does f"), (g, g + 17, "M-2", "def g(self)", "")])
     assert out == "class A:\n    M-1 | def f(self)\n// does f\n    def g(self): pass"
+
+
+def test_strategies_and_needs(spark):
+    import pytest
+
+    made = describe.strategy("x", {"x": lambda size=1: size}, size=3, other=4)
+    assert made == 3 and describe.strategy("none", {}) is None
+    with pytest.raises(ValueError, match="unknown strategy"):
+        describe.strategy("y", {"x": dict})
+    rows = [("C-1", "class", None, "said"), ("V-1", "field", "C-1", None), ("C-2", "class", None, "said"), ("M-1", "method", "C-2", "")]
+    structs = spark.createDataFrame(rows, "id string, type string, parent_id string, description string")
+    assert {r["id"] for r in describe.needs_description(structs).collect()} == {"V-1", "C-2", "M-1"}

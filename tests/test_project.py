@@ -180,5 +180,15 @@ def test_incompatible_store_is_refused_then_rebuilt(spark, root):
     assert project.store.is_compatible()
 
 
+def test_init(spark, tmp_path):
+    project = Project(spark, str(tmp_path))
+    assert project.init() == ["sylva.toml", ".sylvaignore", ".gitignore"] and project.init() == []
+    (tmp_path / "sylva.toml").write_text('language = "java"\n')
+    assert Project(spark, str(tmp_path)).config.language == "java" and Project(spark, str(tmp_path), language="html").config.language == "html"
+    assert project.init(force=True) == ["sylva.toml", ".sylvaignore"]
+    with pytest.raises(ValueError):
+        Project(spark, str(tmp_path), language="cobol")
+
+
 def test_references():
     assert coerce_list('["a", "b"]') == ["a", "b"] and coerce_list("a, b") == ["a", "b"] and coerce_list(["x"]) == ["x"] and coerce_list("f(a, b)") == ["f(a, b)"]
