@@ -171,11 +171,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, key, places`` for rows with repeats of earlier texts: where the windows start that also start in a
     row with a smaller doc_id; null places for a whole copy of an earlier row's text. ``docs`` has doc_id, key (a hash
     of the text that tells rows with one id apart) and text."""
-    by_text = docs.groupBy(F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.min("doc_id").alias("first"))
-    marked = docs.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")).join(by_text, "sha").select("doc_id", "key", "first").distinct()
-    marked = Scratch(marked, "copies").df
-    firsts = marked.where("doc_id = first").select("doc_id", "key")
-    texts = docs.join(firsts.hint("shuffle_hash"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "text")
+    slim = Scratch(docs.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
+    shared = Scratch(slim.df.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "shared")
+    copies = Scratch(slim.df.join(shared.df, "sha").where("doc_id > first").select("doc_id", "key").distinct(), "copies").df
+    slim.drop()
+    shared.drop()
+    texts = docs.join(copies.hint("shuffle_hash"), ["doc_id", "key"], "left_anti").select("doc_id", "key", "text")
 
     named = Scratch(texts.mapInArrow(_emit_anchors, "doc_id long, key long, anchor long"), "anchors")
     # Shared names are written before they are joined back, so that only one shuffle of all names exists at a time.
@@ -192,8 +193,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = Scratch(later.groupBy("doc_id", "key").agg(F.collect_list("place").alias("places")), "repeats")
     windows.drop()
     first.drop()
-    copies = marked.where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("places"))
-    return found.df.unionByName(copies)
+    return found.df.unionByName(copies.withColumn("places", F.lit(None).cast("array<int>")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
