@@ -85,7 +85,25 @@ def _mix(base: DataFrame, **how) -> DataFrame:
     return written.join(starts, ["key", "part"]).select("row", "size", "source_size", "target", crossed.cast("int").alias("copies"))
 
 
-def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: each row of docs as many times as its running sum crosses an integer, same columns."""
-    chosen = mix(docs, **how).where("copies > 0")
-    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixture itself: each row of docs as many times as its running sum crosses an integer, same columns.
+
+    Only ids, hashes and sizes are laid out by size, where long texts would gather in a few partitions; the copies then
+    join the texts on id, hash and source, which spreads the texts evenly. Rows that agree in all three share their
+    copies, in the order of a hash of all their columns.
+    """
+    size, key, ident = _key(text_col, source_col, id_col)
+    who = F.struct(ident, F.xxhash64(text_col).alias("hash"), key)
+    allotted = _mix(docs.select(who.alias("row"), size, key, ident), **how)
+    shares = Scratch(allotted.groupBy("row").agg(F.sum("copies").alias("total"), F.count("*").alias("k")), "shares").df
+    shares = shares.select(F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"), F.col("row.key").alias("_key"), "total", "k")
+    texts = docs.select(F.struct(*docs.columns).alias("row"), ident, F.xxhash64(text_col).alias("hash"), key)
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("key") == F.col("_key"))
+    chosen = texts.join(shares.where("total > 0").hint("shuffle_hash"), match)
+    single = chosen.where("k = 1").select("row", "total")
+    if not shares.where("k > 1").isEmpty():
+        hashed = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+        turn = F.row_number().over(Window.partitionBy("id", "hash", "key").orderBy(F.xxhash64(*hashed)))
+        several = chosen.where("k > 1").withColumn("turn", turn)
+        single = single.unionByName(several.select("row", (F.expr("total div k") + (F.col("turn") <= F.col("total") % F.col("k")).cast("long")).alias("total")))
+    return single.where("total > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int")))).select("row.*")

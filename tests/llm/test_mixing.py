@@ -49,11 +49,21 @@ def test_emit_repeats_rows_with_their_columns(docs):
     assert sum(r["n"] for r in n) in (134, 135, 136)
 
 
+def test_emit_agrees_with_mix(docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([1, 5, 40]))), None, rng.choice(["a", None, "b"])) for i in range(300)]
+    frame = docs(*rows, *rows[:40], *rows[:40], (None, "x y", "en", "a"), (None, "x y", "de", "a"), (None, None, None, None))
+    want = {(r["id"], r["text"], r["source"]): r["n"] for r in mixing.mix(frame).groupBy(F.col("row.doc_id").alias("id"), "row.text", "row.source").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    got = {(r["doc_id"], r["text"], r["source"]): r["n"] for r in mixing.emit(frame).groupBy("doc_id", "text", "source").agg(F.count("*").alias("n")).collect()}
+    assert got == want and len(got) > 200
+
+
 def test_odd_rows(docs):
     rows = [(i, t, None, "s" if i % 2 else None) for i, t in enumerate(ODD)] + [(None, "a b", None, "s"), (3, "x", None, "t"), (3, "x", None, "t")]
     got = mixing.mix(docs(*rows)).collect()
     assert len(got) == len(rows)
     assert {r["size"] for r in got if r["row"]["text"] in (None, "")} == {0}
     assert mixing.mix(docs()).collect() == []
+    assert mixing.emit(docs()).collect() == [] and mixing.emit(docs(*rows)).columns == docs().columns
     silent = mixing.mix(docs((1, None), (2, ""))).collect()
     assert [(r["target"], r["copies"]) for r in silent] == [(0.0, 0)] * 2
