@@ -3,7 +3,11 @@
 Header units are the lines of a text that speak of licensing (``TRIGGER``), wherever they stand; a licence file
 (``LICENCE_FILE`` by name) is a unit as a whole, too. Units and templates are sparse TF-IDF vectors, IDF being counted
 over the templates; a unit's licence is the template of highest cosine, from ``LEAST`` on. A file's own licence is its
-best unit's. A directory's is that of the best licence file in it, and files without one of their own inherit from the
+best unit's. Lines alone lose what is wrapped, so the paragraphs that speak of licensing are also read as running words,
+comment marks left out: ``PASSAGES`` are scored by containment, the share of their three-word runs that the file's
+paragraphs hold, and one that reaches ``LEAST`` goes before the lines (the one with most runs held wins, so that a text
+goes to the licence it quotes most of). Where lines and passages say nothing, a line that is a title or a short notice
+(``NOTICES``) as a whole counts. A directory's is that of the best licence file in it, and files without one of their own inherit from the
 nearest directory above that has one: directories are few against files, so each distinct directory meets its
 ancestors by an equi join on path prefixes, and files then join on their directory.
 
@@ -54,6 +58,49 @@ TRIGGER = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|here
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 LEAST = 0.75
 
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+# Passages of licence texts and of wrapped headers, as running words; those of one row are counted together.
+PASSAGES = (
+    ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",)),
+    ("Apache-2.0", ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",)),
+    ("Apache-2.0", ("apache license version 2 0 january 2004",)),
+    ("GPL-3.0", (_GNU.format("general public license", "3"),)),
+    ("GPL-3.0", ("gnu general public license version 3 29 june 2007",)),
+    ("GPL-2.0", (_GNU.format("general public license", "2"),)),
+    ("GPL-2.0", ("gnu general public license version 2 june 1991",)),
+    ("LGPL-3.0", (_GNU.format("lesser general public license", "3"),)),
+    ("LGPL-3.0", ("gnu lesser general public license version 3 29 june 2007",)),
+    ("LGPL-2.1", (_GNU.format("lesser general public license", "2 1"),)),
+    ("LGPL-2.1", ("gnu lesser general public license version 2 1 february 1999",)),
+    ("AGPL-3.0", (_GNU.format("affero general public license", "3"),)),
+    ("AGPL-3.0", ("gnu affero general public license version 3 19 november 2007",)),
+    ("MPL-2.0", ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",)),
+    ("BSD-2-Clause", (_BSD,)),
+    ("BSD-3-Clause", (_BSD, "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")),
+    ("ISC", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",)),
+    ("Unlicense", ("this is free and unencumbered software released into the public domain",)),
+)
+STRETCH = TRIGGER + "|endorse or"
+# Titles and short notices, as patterns of a line's words; the first that fits the whole line counts.
+NOTICES = (
+    ("MIT", "mit license( mit)?"),
+    ("Apache-2.0", "apache license (version |v )?2 0"),
+    ("LGPL-3.0", "gnu lesser general public license (version |v )?v?3( 0)?"),
+    ("AGPL-3.0", "gnu affero general public license (version |v )?v?3( 0)?"),
+    ("GPL-3.0", "gnu general public license (version |v )?v?3( 0)?"),
+    ("GPL-2.0", "gnu general public license (version |v )?v?2( 0)?"),
+    ("MPL-2.0", "mozilla public license (version |v )?2 0"),
+    ("BSD-3-Clause", "bsd 3 clause (new or revised )?license"),
+    ("BSD-2-Clause", "bsd 2 clause (simplified )?license"),
+    ("ISC", "isc license( isc)?"),
+    ("CC-BY-4.0", "creative commons attribution 4 0 international( public)? license"),
+    ("CC-BY-SA-4.0", "creative commons attribution sharealike 4 0 international( public)? license"),
+    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4 0 international( public)? license"),
+)
+_NOTICE = "^(copyright .*)?((this|the) (file|work|project|software|program|code|library) is )?(licen[cs]ed |released |distributed )?(under )?(the )?(terms of )?(the )?{}( or( any)? later( version)?)?( copyright .*)?( all rights reserved)?$"
+_RESERVED = "^(c )?copyright .*all rights reserved$"
+
 
 def _terms(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
@@ -96,6 +143,36 @@ def classify(unit_rows: DataFrame) -> DataFrame:
     return best.select("path", "unit", F.col("x.licence").alias("licence"), (-F.col("x.col1")).alias("score"))
 
 
+def stretches():
+    """The array of a file's paragraphs (up to a line without letter or digit) that speak of licensing. Needs text."""
+    paragraphs = F.filter(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda x: x.rlike(STRETCH))
+    return F.when(F.col("text").rlike(TRIGGER), paragraphs).otherwise(F.array().cast("array<string>"))
+
+
+def _words(text: str):
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """``path, licence, score`` of the passage that a file's ``stretches`` hold most of, for files that hold LEAST of one."""
+    runs = lambda text: {tuple(text.split()[k : k + 3]) for k in range(len(text.split()) - 2)}
+    held = [(" ".join(r), k, name, len(all_)) for k, (name, texts) in enumerate(PASSAGES) for all_ in [set().union(*map(runs, texts))] for r in sorted(all_)]
+    known = rows.sparkSession.createDataFrame(held, "run string, passage int, licence string, size int")
+    w = rows.select("path", F.explode("stretches").alias("text")).select("path", F.split(_words("text"), " ").alias("w")).where(F.size("w") > 2)
+    found = w.select("path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.array_join(F.slice("w", k, 3), " ")))).alias("run")).join(F.broadcast(known), "run")
+    share = found.select("path", "run", "passage", "licence", "size").distinct().groupBy("path", "passage", "licence", "size").agg(F.count("*").alias("n")).withColumn("score", F.round(F.col("n") / F.col("size"), 6))
+    best = share.where(F.col("score") >= LEAST).groupBy("path").agg(F.min(F.struct(-F.col("n"), -F.col("score"), "licence", "score")).alias("x"))
+    return best.select("path", F.col("x.licence").alias("licence"), F.col("x.score").alias("score"))
+
+
+def notices(unit_rows: DataFrame) -> DataFrame:
+    """``path, licence, score`` (1) of the files with a line that is a title or a short notice; reserved rights last."""
+    place = F.coalesce(*[F.when(F.col("w").rlike(_NOTICE.format(f"({pattern})")), k) for k, (_, pattern) in enumerate(NOTICES)], F.when(F.col("w").rlike(_RESERVED), len(NOTICES)))
+    names = F.array(*[F.lit(name) for name, _ in NOTICES], F.lit("Proprietary"))
+    first = unit_rows.select("path", _words("text").alias("w")).select("path", place.alias("k")).where("k is not null").groupBy("path").agg(F.min("k").alias("k"))
+    return first.select("path", names[F.col("k")].alias("licence"), F.lit(1.0).alias("score"))
+
+
 def directory_of(path: str = "path"):
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -108,11 +185,13 @@ def scan(files: DataFrame) -> DataFrame:
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing. Rows that
     repeat a path count as one file with the units of all, and each is returned.
     """
-    # Each text is read once: what the later steps need of it is written as paths and header units.
-    slim = Scratch(files.select("path", header_units().alias("units")), "headers").df
+    # Each text is read once: what the later steps need of it is written as paths, header units and paragraphs.
+    slim = Scratch(files.select("path", header_units().alias("units"), stretches().alias("stretches")), "headers").df
     files = slim
-    found = classify(slim.where("path is not null").select("path", F.posexplode("units").alias("unit", "text"))).where(F.col("score") >= LEAST)
-    own = found.groupBy("path").agg(F.min(F.struct(-F.col("score"), "licence")).alias("x")).select("path", F.col("x.licence").alias("licence"), (-F.col("x.col1")).alias("score"))
+    units = slim.where("path is not null").select("path", F.posexplode("units").alias("unit", "text"))
+    found = classify(units).where(F.col("score") >= LEAST).select(F.lit(1).alias("rank"), "path", "licence", "score")
+    found = found.unionByName(passages(slim.where("path is not null")).withColumn("rank", F.lit(0))).unionByName(notices(units).withColumn("rank", F.lit(2)))
+    own = found.groupBy("path").agg(F.min(F.struct("rank", -F.col("score"), "licence")).alias("x")).select("path", F.col("x.licence").alias("licence"), (-F.col("x.col2")).alias("score"))
     own = Scratch(own, "licences").df
     declared = own.where(F.substring_index("path", "/", -1).rlike(LICENCE_FILE)).groupBy(directory_of().alias("above")).agg(F.min(F.struct(-F.col("score"), "licence")).alias("x"))
     declared = declared.select("above", F.col("x.licence").alias("inherited"))
