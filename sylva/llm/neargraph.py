@@ -6,11 +6,15 @@ by the robust rule (a candidate goes when a kept one is ``ALPHA`` times closer t
 lists from all its shards are united. Nearest-neighbour lists leave some nodes of a dense group without any link into
 them, so each node is also linked with the two next to it in the order of nearest medoid and similarity to it. Each node then is a query: a greedy beam search from the shard's medoids, then
 an expansion through everything within ``SLACK`` of the threshold. What it finds is verified by cosine in double
-precision. A pair is counted in the first shard that both its nodes share, where also a spanning star of each
-component is kept, so a dense group costs rows in proportion to its members.
-
-Finding is approximate: a bounded number of queries is compared with all rows of their label, and while recall is
-under ``LEAST_RECALL`` the graph is built again with twice the overlap. Links are never wrong.
+precision. A pair counts for both its nodes whichever of them found it, in the first shard that both share: pairs that
+meet in a later shard too are compared exactly in the first, so none that a later one finds is left uncounted. There
+also a spanning star of each component is kept, so a dense group costs rows in proportion to its members.
+
+Finding is approximate: queries, whose number grows with the table, are compared with all rows of their label, and
+while recall is under ``LEAST_RECALL`` the graph is built again with twice the overlap. Recall is the mean over the
+queries that have a true link, and those with few links must reach it by themselves. Where it is still missed after
+``TRIES``, or too few queries have a link to tell, all pairs of each label are compared instead, in blocks. Links are
+never wrong.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ OVERLAP, CANDIDATES, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 2, 24, 12, 1.2, 16, 8
 PART_ROWS = 4096
 #: Tasks for all shards; more shards than that share tasks.
 MOST_TASKS = 20_000
-#: Queries of the recall audit, and what it must reach.
+#: Queries of the recall audit at least, and what it must reach.
 AUDIT, LEAST_RECALL, TRIES = 100, 0.97, 3
+#: Queries by the root of the number of nodes; queries with one to FEW linked nodes that are needed to tell (or all nodes
+#: asked); queries at most.
+AUDIT_ROOT, FEW, NEEDED, MOST_AUDIT = 4, 10, 50, 1 << 15
 #: Cells of a queries-by-nodes table in memory.
 CELLS = 1 << 22
 
@@ -176,8 +183,25 @@ def _search_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
     shards, count = np.array(frame["shards"].tolist()), frame["n"].to_numpy()
     linked = np.zeros(len(ids), np.int64)
     a = b = np.empty(0, np.int64)
+    whole = int(frame["parts"].iloc[0]) == 1
+    if whole:
+        hit = np.zeros((len(ids), len(ids)), bool)
+        for part in _chunks(own, len(ids)):
+            i, j = search(x, graph, starts, part)
+            hit[part[i], j] = True
+        hit |= hit.T
+        again = [np.flatnonzero((shards == s).any(1)) for s in np.unique(shards[shards > shard])]
     for part in _chunks(own, len(ids)):
-        i, j = search(x, graph, starts, part)
+        if whole:
+            found = hit[part]
+            for m in again:
+                at = np.flatnonzero(np.isin(part, m))
+                i, j = np.nonzero(x[part[at]] @ x[m].T >= LEAST - 1e-4)
+                found[at[i], m[j]] = True
+            i, j = np.nonzero(found)
+        else:
+            # A dense group, dealt to several tasks: a pair may be found in the other node's task only, so all compare.
+            i, j = np.nonzero(x[part] @ x.T >= LEAST - 1e-4)
         i = part[i]
         for at in range(0, len(i), 50_000):
             p, q = i[at : at + 50_000], j[at : at + 50_000]
@@ -260,24 +284,66 @@ def _links(nodes: DataFrame, overlap: int) -> DataFrame:
     return out
 
 
-def audit(nodes: DataFrame, found: DataFrame, queries: int = AUDIT) -> float:
-    """Share of true links of ``queries`` nodes (by hash order) that ``found(id, linked)`` counts, against all nodes."""
+def _pairs_of_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the nodes of two blocks (or within one), all pairs compared: the columns of ``_links``."""
+    ids, x, count, block = frame["id"].to_numpy(), _unit(frame["embedding"]), frame["n"].to_numpy(), frame["block"].to_numpy()
+    left, right = np.flatnonzero(block == frame["i"].iloc[0]), np.flatnonzero(block == frame["j"].iloc[0])
+    within = frame["i"].iloc[0] == frame["j"].iloc[0]
+    linked = np.zeros(len(ids), np.int64)
+    a = b = np.empty(0, np.int64)
+    for part in _chunks(left, len(right)):
+        hit = (x[part] @ x[right].T >= LEAST) & (ids[part][:, None] != ids[right][None, :])
+        linked[part] += hit @ count[right]
+        if not within:
+            linked[right] += count[part] @ hit
+        i, j = np.nonzero(hit)
+        a, b = forest(np.concatenate([a, part[i]]), np.concatenate([b, right[j]]))
+    return pd.DataFrame({"id": np.concatenate([ids, ids[a]]), "linked": np.concatenate([linked, np.zeros(len(a), np.int64)]), "root": np.concatenate([ids, ids[b]])})
+
+
+def _all_links(nodes: DataFrame) -> DataFrame:
+    """As ``_links``, exact: the nodes of a label are dealt to blocks by hash, and a task compares two blocks."""
+    key = ["label", "dim"]
+    sizes = nodes.groupBy(*key).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select(*key, "id", "embedding", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return Scratch(pairs.groupBy(*key, "i", "j").applyInPandas(_pairs_of_blocks, "id long, linked long, root long"), "found").df
+
+
+def _asked(nodes: DataFrame, found: DataFrame, queries: int) -> tuple[float, int]:
+    """Recall of ``queries`` nodes (by hash order), and how many of them have one to FEW linked nodes."""
     asked = nodes.orderBy(F.xxhash64(F.col("id") + 1), "id").limit(queries).toPandas()
-    if not len(asked):
-        return 1.0
     keys = {k: (own["id"].to_numpy(), _unit(own["embedding"])) for k, own in asked.groupby(["label", "dim"])}
 
     def work(frames):
         for frame in frames:
             for key, own in frame.groupby(["label", "dim"]):
                 if key in keys:
-                    ids, q = keys[key]
-                    hit = (q @ _unit(own["embedding"]).T >= LEAST) & (ids[:, None] != own["id"].to_numpy()[None, :])
-                    yield pd.DataFrame({"id": ids, "truth": hit @ own["n"].to_numpy()})
-
-    truth = nodes.mapInPandas(work, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    both = truth.join(found.groupBy("id").agg(F.sum("linked").alias("linked")), "id", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("linked", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+                    x, others, n = _unit(own["embedding"]).T, own["id"].to_numpy(), own["n"].to_numpy()
+                    for at in range(0, len(keys[key][0]), 256):
+                        ids, q = (v[at : at + 256] for v in keys[key])
+                        hit = (q @ x >= LEAST) & (ids[:, None] != others[None, :])
+                        some = hit.any(1)
+                        yield pd.DataFrame({"id": ids[some], "truth": hit[some] @ n, "near": hit[some].sum(1)})
+
+    truth = nodes.mapInPandas(work, "id long, truth long, near long").groupBy("id").agg(F.sum("truth").alias("truth"), F.sum("near").alias("near"))
+    share = F.least("truth", F.coalesce("linked", F.lit(0))) / F.col("truth")
+    both = truth.join(found.groupBy("id").agg(F.sum("linked").alias("linked")), "id", "left").groupBy((F.col("near") <= FEW).alias("few")).agg(F.avg(share).alias("recall"), F.count("*").alias("n")).collect()
+    return min((r["recall"] for r in both), default=1.0), sum(r["n"] for r in both if r["few"])
+
+
+def audit(nodes: DataFrame, found: DataFrame, queries: int = AUDIT) -> float | None:
+    """The mean share of its true links that ``found(id, linked)`` counts for a node that has any, the less of nodes with
+    up to FEW and of others; None where MOST_AUDIT queries were too few to tell."""
+    total = nodes.count()
+    queries = max(queries, int(AUDIT_ROOT * total**0.5))
+    while True:
+        recall, few = _asked(nodes, found, queries)
+        if few >= NEEDED or queries >= total or recall < LEAST_RECALL:
+            return recall
+        if queries >= MOST_AUDIT:
+            return None
+        queries = min(4 * queries, MOST_AUDIT)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -292,9 +358,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     overlap = OVERLAP
     for _ in range(TRIES):
         found = _links(nodes, overlap)
-        if audit(nodes, found) >= LEAST_RECALL:
+        recall = audit(nodes, found)
+        if recall is None or recall >= LEAST_RECALL:
             break
         overlap *= 2
+    if recall is None or recall < LEAST_RECALL:
+        found = _all_links(nodes)
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     parts = connected_components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = nodes.join(linked, "id", "left").join(parts, F.col("id") == F.col("node"), "left")

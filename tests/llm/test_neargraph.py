@@ -60,3 +60,45 @@ def test_odd_rows(spark):
     none = neargraph.near_duplicates(table(spark, [(None, v, 1), (1, v, 1)])).collect()
     assert {(r["vec_id"], r["component_id"], r["kept"]) for r in none} == {(None, None, False), (1, 1, True)}
     assert neargraph.near_duplicates(table(spark, [])).collect() == []
+
+
+def sparse(seed=3, n=400):
+    """Far vectors, two pairs of near ones and no others."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 32))
+    x[7], x[11] = x[200] + 0.01, x[300] - 0.01
+    return [(i, v.tolist(), 1) for i, v in enumerate(x)]
+
+
+def lossy(keep):
+    """Links of the graph, without those of the nodes that ``keep`` rejects."""
+    whole = neargraph._links
+    return lambda nodes, overlap: whole(nodes, overlap).where(keep)
+
+
+def test_lost_links_are_made_good(spark, monkeypatch):
+    rows = sparse()
+    monkeypatch.setattr(neargraph, "_links", lossy("id < 0"))
+    monkeypatch.setattr(neargraph, "PART_ROWS", 90)
+    assert result(neargraph.near_duplicates(table(spark, rows))) == brute(rows)
+    monkeypatch.setattr(neargraph, "MOST_AUDIT", 100)  # too few queries to tell
+    assert result(neargraph.near_duplicates(table(spark, rows))) == brute(rows)
+
+
+def test_a_dense_group_does_not_hide_small_ones(spark):
+    rng = np.random.default_rng(5)
+    centre, far = rng.normal(size=32), rng.normal(size=(60, 32))
+    x = [*(centre + rng.normal(size=(600, 32)) * 0.02), *far, *(far + 0.005)]
+    nodes = neargraph.nodes_of(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]))
+    found = spark.createDataFrame([(i, 599 if i < 600 else 0) for i in range(len(x))], "id long, linked long")
+    assert neargraph.audit(nodes, found) < neargraph.LEAST_RECALL
+
+
+def test_pairs_of_several_shards_count_in_the_first():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 32))
+    x[151] = x[33] + 0.01
+    frame = neargraph.pd.DataFrame({"id": range(200), "embedding": x.tolist(), "n": 1, "shard": 0, "shards": [[0, 1]] * 200, "parts": 1, "part": 0, "neighbours": [np.empty(0, int)] * 200})
+    out = neargraph._search_shard(None, frame)
+    assert out.groupby("id")["linked"].sum().loc[[33, 151, 50]].tolist() == [1, 1, 0]
+    assert neargraph._search_shard(None, frame.assign(shard=1))["linked"].sum() == 0
