@@ -7,7 +7,7 @@ rows. Redundant bits let a few classifiers err. The score is the softmax of the
 best codewords are nearly as good is flagged ambiguous.
 
 Features of whole texts are computed on the executors, in training too: the driver only gets fixed-size vectors of at
-most ``SAMPLE_PER_LANGUAGE`` texts per language, a documented bound. The model (some 100 KB) goes to the executors in
+most ``SAMPLE_PER_LANGUAGE`` texts per language, a documented bound; every label is learned. The model (some 100 KB) goes to the executors in
 the function's closure.
 """
 
@@ -24,10 +24,11 @@ from .common import small_batches
 
 #: Labelled texts per language that the classifiers are fitted on; the choice is by hash, the same at every size.
 SAMPLE_PER_LANGUAGE = 400
-#: Labelled texts of all languages together at most (16 KB of features each reach the driver).
+#: Labelled texts of all languages together at most (16 KB of features each reach the driver); a text of each language
+#: where there are more languages than that.
 MOST_ROWS = 8000
-#: Languages told apart at most; the rest (by number of texts, then name) is not learned.
-MAX_LANGUAGES = 128
+#: Languages up to which the best spread of codes is searched for; more of them take codes that only differ.
+SPREAD = 512
 DIM, STEPS, RATE, DECAY = 1 << 12, 160, 0.5, 1e-4
 UNKNOWN, AMBIGUOUS = "und", 0.5
 
@@ -63,13 +64,18 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n rows of -1/+1: the exhaustive code up to 5 languages, else the best spread of 64 random codes."""
+    """n rows of -1/+1: the exhaustive code up to 5 languages, else the best spread of 64 random codes (beyond SPREAD
+    languages a random one without repeats)."""
     if n < 2:
         return np.ones((n, 1), np.int8)
     if n <= 5:
         columns = [[1] + [1 if k >> (n - 2 - r) & 1 else -1 for r in range(n - 1)] for k in range(2 ** (n - 1) - 1)]
         return np.array(columns, np.int8).T
     bits, rng = 15 + 5 * int(np.ceil(np.log2(n))), np.random.default_rng(seed)
+    while n > SPREAD:
+        code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
+        if len(np.unique(code, axis=0)) == n:
+            return code
     best, gap = None, -1
     for _ in range(64):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
@@ -90,7 +96,11 @@ class EcocModel:
         self.bias, self.trust = np.zeros(self.code.shape[1], np.float32), np.ones(self.code.shape[1], np.float32)
         if len(self.languages) < 2:
             return
-        held = np.arange(len(x)) % 5 == 4
+        # Held back by place within the language, so that one with few texts is not left without any.
+        order = np.argsort(names, kind="stable")
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x)) - np.searchsorted(np.asarray(names)[order], np.asarray(names)[order])
+        held = place % 5 == 4
         self._fit(x[~held], y[~held].astype(np.float32))
         right = ((x[held] @ self.weights + self.bias) * y[held] > 0).mean(0) if held.any() else np.ones(self.code.shape[1])
         self.trust = np.clip(2 * right - 1, 0.05, 1).astype(np.float32)
@@ -113,7 +123,8 @@ class EcocModel:
         names, score, unsure = [UNKNOWN] * len(rows), np.zeros(len(rows)), np.ones(len(rows), bool)
         if known.any():
             margin = np.stack([r for r, k in zip(rows, known) if k]) @ self.weights + self.bias
-            loss = (np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) * self.trust).sum(2)
+            # log(1 + e^m) is m more than log(1 + e^-m): what a codeword costs beyond that of all ones.
+            loss = (np.logaddexp(0, -margin) * self.trust).sum(1, keepdims=True) + (margin * self.trust) @ ((1 - self.code.T) / 2)
             chance = np.exp(loss.min(1, keepdims=True) - loss)
             chance /= chance.sum(1, keepdims=True)
             best = loss.argmin(1)
@@ -132,11 +143,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the languages of ``docs``, from ``limit`` texts each (lowest hash of the id); rows without text, lang
     or letters teach nothing. Only the labels are read to choose the rows, and the cut is made before the shuffle."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
-    # Eight times the rows wanted, by hash: so few that ranking them is cheap for a language of any size.
-    found = counts.collect()
-    limit = min(limit, MOST_ROWS // max(1, len(found)))
-    counts = docs.sparkSession.createDataFrame([(r[lang_col], 8.0 * limit / r["count"]) for r in found], "lang string, share double")
+    # Eight times the rows wanted (of eight at least), by hash: so few that ranking them is cheap for a language of any size.
+    found = labelled.groupBy(lang_col).count().collect()
+    limit = min(limit, max(1, MOST_ROWS // max(1, len(found))))
+    counts = docs.sparkSession.createDataFrame([(r[lang_col], 8.0 * max(limit, 8) / r["count"]) for r in found], "lang string, share double")
     first = Window.partitionBy("lang").orderBy("h", "id")
     drawn = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).join(F.broadcast(counts), "lang")
     drawn = drawn.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))

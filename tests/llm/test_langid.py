@@ -52,3 +52,22 @@ def test_odd_rows(spark, docs):
     one = langid.fit(docs((1, "the of", "en")))
     assert langid.predict(docs((2, "abc")), one).first()["lang_pred"] == "en"
     assert langid.predict(docs(), model).collect() == []
+
+
+def test_every_label_is_learned(docs):
+    rng = np.random.default_rng(2)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(5)] for _ in range(150)]
+    text = lambda k: " ".join(rng.choice(words[k], 20))
+    rows = [(1000 * k + i, text(k), f"t{k:03}") for k in range(150) for i in range(3 if k < 25 else 6)]
+    frame = docs(*rows)
+    model = langid.fit(frame)
+    assert model.languages == [f"t{k:03}" for k in range(150)]
+    fresh = docs(*[(k, text(k)) for k in range(150)])
+    got = {r["doc_id"]: r for r in langid.predict(fresh, model).select("row.doc_id", "lang_pred", "ambiguous").collect()}
+    assert sum(got[k]["lang_pred"] == f"t{k:03}" for k in range(25)) >= 24
+    assert sum(got[k]["lang_pred"] == f"t{k:03}" for k in range(150)) >= 147 and sum(r["ambiguous"] for r in got.values()) <= 3
+
+
+def test_many_codes_differ():
+    code = langid.codewords(3000)
+    assert len(np.unique(code, axis=0)) == 3000
