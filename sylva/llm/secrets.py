@@ -5,7 +5,8 @@ of width 5, maximum and mean pooling, a logistic output. It is trained on labell
 fixed seed (keys, tokens and digests against file names, addresses, numbers, long words and repeated characters);
 held-back findings calibrate its output (Platt scaling) and set the threshold, one that keeps ``RECALL`` of the
 labelled secrets and otherwise stays far from the harmless ones. Pattern findings always stay; the network adds spans of kind ``model`` among the
-candidates that no pattern covers. Texts are scanned whole, row by row, without any shuffle.
+candidates that no pattern covers whole. It sees a candidate longer than its window piece by piece, and the most
+probable piece counts. Texts are scanned whole, row by row, without any shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,16 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return x
 
 
+def views(text: str, start: int, end: int):
+    """The windows of a candidate: one, or for a longer one than BODY also those of pieces of that length, half a piece
+    apart, up to its end, each as if it stood by itself behind what stands before the candidate."""
+    yield window(text, start, end)
+    if end - start > BODY:
+        lead, rest = text[max(0, start - LEFT) : start], text[end : end + RIGHT]
+        for at in [*range(start, end - BODY, BODY // 2), end - BODY]:
+            yield window(lead + text[at : at + BODY] + rest, len(lead), len(lead) + BODY)
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     """``(text, start, end, is secret)``, made by rule from a fixed seed, half of them secrets."""
     rng = np.random.default_rng(seed)
@@ -178,22 +190,23 @@ def trained() -> CharCnn:
 
 def scan_texts(texts, model: CharCnn) -> list[list[tuple[int, int, int, float]]]:
     """Per text ``(start, kind, end, probability)`` sorted by start, then kind. Pattern findings keep their place
-    whatever the network says; other candidates are findings from the threshold on."""
+    whatever the network says; candidates that none of them covers whole are findings from the threshold on."""
     spans, asked = [], []
     for n, text in enumerate(texts):
         own = base_spans(text) if text else []
         spans.append([(s, k, e, 1.0) for s, k, e in own])
         if text:
             asked += [(n, s, e) for s, e in candidates(text)]
-    for at in range(0, len(asked), 1024):
-        part = asked[at : at + 1024]
-        for (n, s, e), p in zip(part, model.probability(np.stack([window(texts[n], s, e) for n, s, e in part]))):
-            hit = [k for k, (a, _, b, _) in enumerate(spans[n]) if a < e and s < b]
-            if hit:
-                for k in hit:
-                    spans[n][k] = (*spans[n][k][:3], float(p))
-            elif p >= model.threshold:
-                spans[n].append((s, 3, e, float(p)))
+    seen, best = ((k, x) for k, (n, s, e) in enumerate(asked) for x in views(texts[n], s, e)), np.zeros(len(asked))
+    while part := list(islice(seen, 1024)):
+        np.maximum.at(best, [k for k, _ in part], model.probability(np.stack([x for _, x in part])))
+    for (n, s, e), p in zip(asked, best):
+        hit = [k for k, (a, kind, b, _) in enumerate(spans[n]) if kind < 3 and a < e and s < b]
+        covered = any(spans[n][k][0] <= s and e <= spans[n][k][2] for k in hit)
+        for k in hit:
+            spans[n][k] = (*spans[n][k][:3], float(p))
+        if p >= model.threshold and not covered:
+            spans[n].append((s, 3, e, float(p)))
     return [sorted(x) for x in spans]
 
 

@@ -64,3 +64,23 @@ def test_redaction(docs):
     assert got[1]["text"] == 'a <assign>" b' and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "clean text" and got[2]["n_chars"] == 10 and got[3]["text"] is None
     assert secrets.redact(frame).columns == frame.columns
+
+
+def test_long_candidates_are_seen_whole():
+    rng, model = np.random.default_rng(9), secrets.trained()
+    parts = "the/static/pages/under/construction/and/other/stations/in/delta/"
+    found = 0
+    for _ in range(40):
+        key = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 40))
+        text = f"see {parts}{key}/{parts}index.html now"
+        (spans,) = secrets.scan_texts([text], model)
+        found += [(s, k, e) for s, k, e, _ in spans] == [(4, 3, len(text) - 4)]
+    (plain,) = secrets.scan_texts([f"see {parts}{parts}v12/index.html now"], model)
+    assert found >= 36 and plain == []
+
+
+def test_secret_beside_a_pattern_is_found(docs):
+    text = "id 0123456789abcdef01234567-9aB3xYz8Qw7Lm2Rt5Vn1Kc4Hd6 end"
+    (spans,) = secrets.scan_texts([text], secrets.trained())
+    assert [(s, k, e) for s, k, e, _ in spans] == [(3, 2, 27), (3, 3, len(text) - 4)]
+    assert secrets.redact(docs((1, text))).first()["text"] == "id <hex> end"
