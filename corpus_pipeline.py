@@ -18,8 +18,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter (``und``) and those whose language is ambiguous."""
+    """Rejects documents without any letter (``und``) and those whose language is ambiguous; where no label teaches a
+    language, only those without any letter."""
     model = langid.fit(docs.where(~langid.held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select("row.*")
 
 

@@ -30,3 +30,9 @@ def test_odd_rows_pass_through(spark, docs):
             out = stage(spark, df, "")
             out.collect()
             assert out.columns == frame.columns if k < 4 else "n_tokens" in out.columns, name
+
+
+def test_no_label_to_learn_from_keeps_the_texts(spark, docs):
+    frame = docs((0, "the of and"), (1, "der die und"), (2, "12 34 !!"), (3, None), (4, ""), (None, "no id"))
+    kept = corpus_pipeline.language(spark, frame, "")
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, None}
