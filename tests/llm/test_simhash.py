@@ -61,7 +61,7 @@ def test_tree_finds_every_pair(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 500)
     fps = np.array(sorted(set(clustered(1500, 3))), np.uint64)
     want = {(a, b) for a in map(int, fps) for b in map(int, fps) if a < b and bin(a ^ b).count("1") <= 2}
-    got = set()
+    met = []
     tree = simhash.plant(fps[::7], 4)
     shards = {}
     for at, shard, home in simhash.route(tree, fps):
@@ -69,9 +69,18 @@ def test_tree_finds_every_pair(monkeypatch):
     assert len(shards) > 8
     for own in shards.values():
         f, h = np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own])
-        for a, b in simhash.near_pairs(f[h], f):
-            got |= set(zip(map(int, a), map(int, b)))
-    assert got == want
+        for a, b in simhash.near_pairs(f[h], f[~h]):
+            met += [tuple(sorted(x)) for x in zip(map(int, a), map(int, b))]
+    assert sorted(met) == sorted(want)  # each pair once
+
+
+def test_shards_stay_bounded_at_any_depth(monkeypatch, spark):
+    """More shards than any fixed depth of twelve would give room for, in proportion; visitors cross one way."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 1)
+    fps = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 9000))
+    dealt, shards = simhash.deal(spark.createDataFrame([(int(f),) for f in fps], "fp long"))
+    sizes = dealt.where("home").groupBy("shard").count().toPandas()["count"]
+    assert shards > 4096 and sizes.sum() == len(fps) and sizes.max() < 40
 
 
 def test_forest():
