@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, early_cleanup, new_scratch, save
 
-__all__ = ["WORD", "Scratch", "connected_components", "early_cleanup", "new_scratch", "save", "small_batches", "table"]
+__all__ = ["WORD", "Scratch", "connected_components", "early_cleanup", "new_scratch", "save", "small_batches", "table", "whole_row"]
 
 #: A run of characters other than space and the ASCII control white space: what every operator here calls a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, whatever their names hold (dots, back quotes)."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return F.struct(*[F.col(q).alias(c) for q, c in zip(quoted, df.columns)])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` links between longs -> ``(node, component)`` for every node that has a link, component being the
     smallest node reachable.

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, whole_row
 
 #: Labelled texts per language that the classifiers are fitted on; the choice is by hash, the same at every size.
 SAMPLE_PER_LANGUAGE = 400
@@ -40,22 +41,26 @@ def _letters() -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray | None:
     """Hashed 1- to 3-grams of the lower-cased letters, other runs being one blank: square roots of counts, at unit
-    length. None without any letter. Computed over the whole text, in stretches of 64k characters with overlap."""
+    length. None without any letter. Computed over the whole text, in stretches of 64k characters that hand their last two
+    codes on, so that the cuts change nothing."""
     if not text:
         return None
     counts = np.zeros(DIM, np.int64)
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    found = False
+    found, before, tail = False, True, np.array([32], np.uint32)
     for at in range(0, len(points), 1 << 16):
-        own = points[max(0, at - 2) : at + (1 << 16)]
+        own = points[at : at + (1 << 16)]
         letter = _letters()[own]
         found |= bool(letter.any())
-        before = np.concatenate([[True], letter[:-1]])
-        c = np.where(letter, own, 32)[letter | before].astype(np.uint32)
-        c = np.concatenate([[32], c]).astype(np.uint32) * np.uint32(2654435761)
+        kept = letter | np.concatenate([[before], letter[:-1]])
+        before, old = bool(letter[-1]), len(tail)
+        codes = np.concatenate([tail, np.where(letter, own, 32)[kept].astype(np.uint32)])
+        tail = codes[-2:]
+        c = codes * np.uint32(2654435761)
         pair = (c[:-1] >> 3) ^ (c[1:] * np.uint32(40503))
         triple = (pair[:-1] >> 2) ^ (c[2:] * np.uint32(2246822519))
-        for grams in (c, pair, triple):
+        # Grams that end in the tail were counted with the stretch before.
+        for grams in (c[old:], pair[old - 1 :], triple[max(0, old - 2) :]):
             counts += np.bincount((grams * np.uint32(3266489917)) >> np.uint32(20), minlength=DIM)
     if not found:
         return None
@@ -140,8 +145,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = SAMPLE_PER_LANGUAGE) -> EcocModel:
-    """A model of the languages of ``docs``, from ``limit`` texts each (lowest hash of the id); rows without text, lang
-    or letters teach nothing. Only the labels are read to choose the rows, and the cut is made before the shuffle."""
+    """A model of the languages of ``docs``, from ``limit`` texts each (lowest hash of the id); rows without id, text, lang
+    or letters teach nothing, and an id teaches a language one text only, whatever is repeated. Long texts count whole. An
+    empty table gives a model without languages. Only the labels are read to choose the rows, and the cut is made before
+    the shuffle; of the rows drawn one text for each id comes to the driver, as a vector."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     # Eight times the rows wanted (of eight at least), by hash: so few that ranking them is cheap for a language of any size.
     found = labelled.groupBy(lang_col).count().collect()
@@ -149,9 +156,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = docs.sparkSession.createDataFrame([(r[lang_col], 8.0 * max(limit, 8) / r["count"]) for r in found], "lang string, share double")
     first = Window.partitionBy("lang").orderBy("h", "id")
     drawn = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).join(F.broadcast(counts), "lang")
-    drawn = drawn.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
-    picked = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select("id", "lang").distinct()
+    drawn = drawn.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share")).select("id", "lang", "h").distinct()
+    picked = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select("id", "lang")
     texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["id", "lang"])
+    # One text for each id and language, however often they are repeated: that of the lowest hash.
+    texts = texts.groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "lang", "x.text")
 
     def work(batches):
         for b in batches:
@@ -159,14 +168,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if r is None else r.tobytes() for r in rows], pa.binary())], ["id", "lang", "x"])
 
     got = texts.select("id", "lang", "text").mapInArrow(work, f"id {dict(texts.dtypes)['id']}, lang string, x binary").where("x is not null").toPandas()
-    got = got.sort_values(["lang", "id"], kind="stable").drop_duplicates(["lang", "id"]).reset_index(drop=True)
+    got = got.sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, DIM)
     return EcocModel(x, got["lang"].to_numpy())
 
 
 def predict(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFrame:
-    """``row`` (the row of docs as a struct), ``lang_pred, score, ambiguous``. A null text and one without letters are
-    ``und``, score 0; so is everything under a model that learned no language."""
+    """``row`` (the row of docs as a struct, whatever its columns are called), ``lang_pred, score, ambiguous``. A null text
+    and one without letters are ``und``, score 0; so is everything under a model that learned no language. Repeated rows
+    are each returned; of codewords that cost the same the first language by code point wins, and the text is ambiguous."""
 
     def work(batches):
         for b in batches:
@@ -177,5 +187,6 @@ def predict(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(score or [[]]), pa.float64()), pa.array(np.concatenate(unsure or [[]]).astype(bool))], names=["row", "lang_pred", "score", "ambiguous"])
 
     small_batches(docs.sparkSession)
-    source = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text"))
-    return source.mapInArrow(work, f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    source = docs.select(whole_row(docs).alias("row"), F.col(text_col).alias("_text"))
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    return source.mapInArrow(work, T.StructType([source.schema["row"], *added]))

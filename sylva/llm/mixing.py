@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, whole_row
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, "mix"
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are alike to the sampler and each counted. Sources without words have target 0 and no copies. An empty table gives
     an empty result.
     """
-    return _mix(docs.select(F.struct(*docs.columns).alias("row"), *_key(text_col, source_col, id_col)), **how)
+    return _mix(docs.select(whole_row(docs).alias("row"), *_key(text_col, source_col, id_col)), **how)
 
 
 def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -97,12 +97,12 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     allotted = _mix(docs.select(who.alias("row"), size, key, ident), **how)
     shares = Scratch(allotted.groupBy("row").agg(F.sum("copies").alias("total"), F.count("*").alias("k")), "shares").df
     shares = shares.select(F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"), F.col("row.key").alias("_key"), "total", "k")
-    texts = docs.select(F.struct(*docs.columns).alias("row"), ident, F.xxhash64(text_col).alias("hash"), key)
+    texts = docs.select(whole_row(docs).alias("row"), ident, F.xxhash64(text_col).alias("hash"), key)
     match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("key") == F.col("_key"))
     chosen = texts.join(shares.where("total > 0").hint("shuffle_hash"), match)
     single = chosen.where("k = 1").select("row", "total")
     if not shares.where("k > 1").isEmpty():
-        hashed = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+        hashed = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind]
         turn = F.row_number().over(Window.partitionBy("id", "hash", "key").orderBy(F.xxhash64(*hashed)))
         several = chosen.where("k > 1").withColumn("turn", turn)
         single = single.unionByName(several.select("row", (F.expr("total div k") + (F.col("turn") <= F.col("total") % F.col("k")).cast("long")).alias("total")))

@@ -71,3 +71,56 @@ def test_every_label_is_learned(docs):
 def test_many_codes_differ():
     code = langid.codewords(3000)
     assert len(np.unique(code, axis=0)) == 3000
+
+
+def plain_features(text):
+    """Grams of the cleaned text in plain Python, counted at their hashed places."""
+    mask = 0xFFFFFFFF
+    low = text.lower()
+    codes = [32] + [ord(c) if c.isalpha() else 32 for k, c in enumerate(low) if c.isalpha() or not k or low[k - 1].isalpha()]
+    c = [x * 2654435761 & mask for x in codes]
+    pair = [(a >> 3) ^ (b * 40503 & mask) for a, b in zip(c, c[1:])]
+    triple = [(a >> 2) ^ (b * 2246822519 & mask) for a, b in zip(pair, c[2:])]
+    counts = np.zeros(langid.DIM)
+    for gram in [*c[1:], *pair, *triple]:
+        counts[(gram * 3266489917 & mask) >> 20] += 1
+    return np.sqrt(counts) / np.sqrt(counts.sum())
+
+
+def test_features_do_not_hang_on_where_stretches_are_cut():
+    rng = np.random.default_rng(4)
+    for n in (5, 300, (1 << 16) - 1, 1 << 16, (1 << 16) + 1, (1 << 17) + 7):
+        text = "".join(rng.choice(list("abcé ,1\nZ"), n)) + "x"
+        assert np.allclose(langid.features(text), plain_features(text), atol=1e-6), n
+
+
+def test_decoding_is_that_of_all_codewords_compared_in_turn(spark, docs):
+    """Brute force: each codeword's weighted logistic loss, bit by bit."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(frame.where(~langid.held_out()))
+    got = langid.predict(frame, model).select("row.doc_id", "row.text", "lang_pred", "score", "ambiguous").collect()
+    assert len(got) == frame.count()
+    for r in got:
+        x = plain_features(r["text"]) if r["text"] and any(c.isalpha() for c in r["text"]) else None
+        if x is None:
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0.0, True)
+            continue
+        losses = []
+        for word in model.code:
+            margins = [float(x @ model.weights[:, b]) + float(model.bias[b]) for b in range(len(word))]
+            losses.append(sum(float(t) * np.log1p(np.exp(-m * int(w))) for m, w, t in zip(margins, word, model.trust)))
+        chance = 1 / sum(np.exp(min(losses) - v) for v in losses)
+        assert r["lang_pred"] == model.languages[int(np.argmin(losses))] and abs(r["score"] - chance) < 1e-4
+
+
+def test_a_repeated_id_teaches_one_text(docs):
+    rows = [(1, "the of and with", "en")] * 50 + [(1, "another text altogether", "en"), (2, "der die und", "de")]
+    once = langid.fit(docs(*rows))
+    again = langid.fit(docs(*rows[::-1]).repartition(7))
+    assert np.array_equal(once.weights, again.weights) and once.languages == ["de", "en"]
+
+
+def test_any_column_names(spark):
+    frame = spark.createDataFrame([(1, "the of", "en", 5, 6)], "doc_id long, text string, lang string, `a.b` int, `c``d` int")
+    out = langid.predict(frame, langid.fit(frame))
+    assert out.select("row.*").columns == frame.columns and out.first()["row"]["a.b"] == 5
