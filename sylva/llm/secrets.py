@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns plus a character convolutional network over every candidate and its context.
 
-The network (numpy, trained here) sees one-hot character classes of a candidate and the text around it: a convolution
-of width 5, maximum and mean pooling, a logistic output. It is trained on labelled findings drawn by rule with a
-fixed seed (keys, tokens and digests against file names, addresses, numbers, long words and repeated characters);
-held-back findings calibrate its output (Platt scaling) and set the threshold, one that keeps ``RECALL`` of the
-labelled secrets and otherwise stays far from the harmless ones. Pattern findings always stay; the network adds spans of kind ``model`` among the
-candidates that no pattern covers whole. It sees a candidate longer than its window piece by piece, and the most
-probable piece counts. Texts are scanned whole, row by row, without any shuffle.
+Candidates are what the patterns find and every unbroken run of key characters with a letter and a digit in it. The
+network (numpy, trained here) sees one-hot character classes of a candidate and the text around it: a convolution of
+width 5, maximum and mean pooling, a logistic output. It is trained on labelled findings drawn by rule with a fixed seed
+(keys, tokens and passwords against names, addresses, numbers, UUIDs, checksums, placeholders and repeated characters);
+held-back findings calibrate its output (Platt scaling) and set the threshold: one that keeps ``RECALL`` of the labelled
+secrets and otherwise stays far from the harmless ones. Each finding carries its calibrated probability. Pattern findings
+stay whatever it is; the network adds spans of kind ``model`` among the candidates that no pattern covers whole. It sees a
+candidate longer than its window piece by piece, and the most probable piece counts. Texts are scanned whole, row by row,
+without any shuffle.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 KEYWORDS = re.compile(r"pass|secret|token|api", re.I | re.A)
 
-#: What the network looks at: unbroken runs of key characters of this length with a letter and a digit in them.
+#: What the network looks at beside the patterns' findings: unbroken runs of key characters of this length with a letter
+#: and a digit in them.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 LEFT, BODY, RIGHT, WIDTH, FILTERS = 24, 48, 8, 5, 16
-FINDINGS, EPOCHS, RECALL, SEED = 2400, 12, 0.98, 11
+FINDINGS, EPOCHS, RECALL, SEED = 4800, 12, 0.98, 11
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -48,7 +51,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str):
-    """Spans of every candidate of the network."""
+    """Spans of every run that may be a secret without any pattern saying so, in order and apart from one another."""
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if not s.isalpha() and any(c.isalpha() for c in s) and any(c.isdigit() for c in s):
@@ -98,28 +101,39 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     lower, digits, upper = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     word = lambda: "".join(rng.choice(["an", "the", "ti", "on", "er", "re", "st", "la", "de", "und", "que", "in", "ou"], rng.integers(1, 5)))
+    mixed = lower + upper + digits
+    dashed = lambda s, *cuts: "-".join(s[a:b] for a, b in zip((0, *cuts), (*cuts, len(s))))
+    # What stands before a finding, by the kind of thing it is.
+    bare, keyed, summed = [" ", " (", "\n", ' "', " id "], [" ", ' token = "', " key: ", " (", "\n", ' "', " auth=", " secret: "], [" sha1: ", " md5 ", " checksum=", ' etag: "', " digest "]
+    assigned = [' password = "', " token: ", " secret=", " api_key='", " passwd: "]
     secrets = [
-        lambda: pick("0123456789abcdef", rng.integers(24, 65)),
-        lambda: pick(lower + upper + digits + "+/", rng.integers(24, 64)) + rng.choice(["", "=", "=="]),
-        lambda: rng.choice(["sk_live_", "ghp_", "xoxb-", "pk-", "AIza"]) + pick(lower + upper + digits, rng.integers(24, 40)),
-        lambda: "AKIA" + pick(upper + digits, 16),
-        lambda: ".".join(["eyJ" + pick(lower + upper + digits + "_-", rng.integers(17, 40)) for _ in range(3)]),
+        (keyed, lambda: pick("0123456789abcdef", rng.integers(24, 65))),
+        (keyed, lambda: pick(mixed + "+/", rng.integers(24, 64)) + rng.choice(["", "=", "=="])),
+        (keyed, lambda: rng.choice(["sk_live_", "ghp_", "xoxb-", "pk-", "AIza"]) + pick(mixed, rng.integers(24, 40))),
+        (keyed, lambda: "AKIA" + pick(upper + digits, 16)),
+        (keyed, lambda: ".".join(["eyJ" + pick(mixed + "_-", rng.integers(17, 40)) for _ in range(3)])),
+        (assigned, lambda: pick(mixed + "_-.", rng.integers(8, 20))),
     ]
     harmless = [
-        lambda: "-".join(word() for _ in range(6)) + "-" + pick(digits, rng.integers(1, 4)),
-        lambda: "/".join(word() for _ in range(5)) + f"/v{rng.integers(1, 99)}.{rng.choice(['html', 'txt', 'py', 'java'])}",
-        lambda: f"{word()}.{word()}{pick(digits, 2)}.{word()}.example.{rng.choice(['com', 'org', 'net'])}",
-        lambda: rng.choice(list("=-._")) * int(rng.integers(18, 50)) + word() + pick(digits, 2),
-        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}_{word()}_{word()}_{pick(digits, 4)}",
-        lambda: "_".join(word() for _ in range(5)) + pick(digits, rng.integers(1, 3)),
-        lambda: word() + word() + word() + word() + word() + pick(digits, rng.integers(1, 3)),
+        (bare, lambda: "-".join(word() for _ in range(6)) + "-" + pick(digits, rng.integers(1, 4))),
+        (bare, lambda: "/".join(word() for _ in range(5)) + f"/v{rng.integers(1, 99)}.{rng.choice(['html', 'txt', 'py', 'java'])}"),
+        (bare, lambda: f"{word()}.{word()}{pick(digits, 2)}.{word()}.example.{rng.choice(['com', 'org', 'net'])}"),
+        (bare, lambda: rng.choice(list("=-._")) * int(rng.integers(18, 50)) + word() + pick(digits, 2)),
+        (bare, lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}_{word()}_{word()}_{pick(digits, 4)}"),
+        (bare, lambda: "_".join(word() for _ in range(5)) + pick(digits, rng.integers(1, 3))),
+        (bare, lambda: word() + word() + word() + word() + word() + pick(digits, rng.integers(1, 3))),
+        (bare, lambda: dashed(pick("0123456789abcdef" if rng.random() < 0.7 else "0123456789ABCDEF", 32), 8, 12, 16, 20)),
+        (summed, lambda: pick("0123456789abcdef" if rng.random() < 0.5 else "0123456789ABCDEF", rng.choice([32, 40, 64]))),
+        (summed, lambda: pick(upper + "234567", 32)),
+        (assigned, lambda: rng.choice(["changeme", "example", "xxxxxxxx", "your_token_here", "none", "placeholder", "password"]) + rng.choice(["", "1", "..."])),
     ]
     out = []
     for k in range(n):
         secret = k % 2 == 0
-        body = str((secrets if secret else harmless)[int(rng.integers(len(secrets if secret else harmless)))]())
-        lead = " ".join(word() for _ in range(5))
-        lead += str(rng.choice([" ", ' token = "', " key: ", " (", "\n", ' "', " auth=", " id "])) if secret or rng.random() < 0.5 else " "
+        known = secrets if secret else harmless
+        before, make = known[int(rng.integers(len(known)))]
+        body = str(make())
+        lead = " ".join(word() for _ in range(5)) + str(rng.choice(before))
         out.append((f"{lead}{body} {word()} {word()}", len(lead), len(lead) + len(body), int(secret)))
     return out
 
@@ -175,7 +189,7 @@ class CharCnn:
         if len(kept):
             # Any threshold up to this one keeps RECALL; halfway down to the harmless findings leaves most room.
             most = float(kept[int((1 - RECALL) * len(kept))])
-            self.threshold = max(0.5, (most + min(most, float(others.max(initial=0.5)))) / 2)
+            self.threshold = (most + min(most, float(others.max(initial=0.0)))) / 2
         return self
 
     def probability(self, windows: np.ndarray) -> np.ndarray:
@@ -190,24 +204,35 @@ def trained() -> CharCnn:
 
 def scan_texts(texts, model: CharCnn) -> list[list[tuple[int, int, int, float]]]:
     """Per text ``(start, kind, end, probability)`` sorted by start, then kind. Pattern findings keep their place
-    whatever the network says; candidates that none of them covers whole are findings from the threshold on."""
-    spans, asked = [], []
-    for n, text in enumerate(texts):
-        own = base_spans(text) if text else []
-        spans.append([(s, k, e, 1.0) for s, k, e in own])
-        if text:
-            asked += [(n, s, e) for s, e in candidates(text)]
+    whatever the network says of them; runs that none of them covers whole are findings from the threshold on. A pattern
+    finding has the greatest probability of itself and of the runs that it touches."""
+    both = [(base_spans(t), list(candidates(t))) if t else ([], []) for t in texts]
+    asked = list(dict.fromkeys((n, s, e) for n, (own, runs) in enumerate(both) for s, e in [*runs, *((a, b) for a, _, b in own)]))
     seen, best = ((k, x) for k, (n, s, e) in enumerate(asked) for x in views(texts[n], s, e)), np.zeros(len(asked))
     while part := list(islice(seen, 1024)):
         np.maximum.at(best, [k for k, _ in part], model.probability(np.stack([x for _, x in part])))
-    for (n, s, e), p in zip(asked, best):
-        hit = [k for k, (a, kind, b, _) in enumerate(spans[n]) if kind < 3 and a < e and s < b]
-        covered = any(spans[n][k][0] <= s and e <= spans[n][k][2] for k in hit)
-        for k in hit:
-            spans[n][k] = (*spans[n][k][:3], float(p))
-        if p >= model.threshold and not covered:
-            spans[n].append((s, 3, e, float(p)))
-    return [sorted(x) for x in spans]
+    found = dict(zip(asked, map(float, best)))
+    out = []
+    for n, (own, runs) in enumerate(both):
+        said, covered = [], set()
+        for kind in range(3):
+            # Findings of a kind are in order and apart, as runs are: one walk along both.
+            at = 0
+            for s, e in ((a, b) for a, k, b in own if k == kind):
+                p = found[n, s, e]
+                while at < len(runs) and runs[at][1] <= s:
+                    at += 1
+                k = at
+                while k < len(runs) and runs[k][0] < e:
+                    p = max(p, found[n, *runs[k]])
+                    if s <= runs[k][0] and runs[k][1] <= e:
+                        covered.add(runs[k])
+                    k += 1
+                at = max(at, k - 1)
+                said.append((s, kind, e, p))
+        said += [(*r[:1], 3, r[1], found[n, *r]) for r in runs if r not in covered and found[n, *r] >= model.threshold]
+        out.append(sorted(said))
+    return out
 
 
 def _said(spans) -> str:
@@ -215,9 +240,10 @@ def _said(spans) -> str:
 
 
 def scan(docs: DataFrame, model: CharCnn | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model``: counts of pattern findings, digest
-    of their list, the list of all findings (code points, end exclusive). Null and empty texts have none; repeated
-    rows are each returned."""
+    """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model, scores``: counts of pattern findings, digest
+    of their list, the list of all findings (code points, end exclusive), how many of them the network added, and the
+    probability of each, comma-joined. Findings that start together go by kind. Null and empty texts have none, long ones
+    are read whole, repeated rows are each returned, other columns of docs are not looked at, no rows give none."""
     model = model or trained()
 
     def work(batches):
@@ -227,19 +253,21 @@ def scan(docs: DataFrame, model: CharCnn | None = None, id_col: str = "doc_id",
                 for spans in scan_texts(b.column(1).slice(at, 256).to_pylist(), model):
                     base = [x for x in spans if x[1] < 3]
                     n = [sum(x[1] == k for x in spans) for k in range(4)]
-                    out.append((*n[:3], hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), n[3]))
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+                    scores = ",".join(f"{x[3]:.4f}" for x in spans)
+                    out.append((*n[:3], hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), n[3], scores))
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "scores"])
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, scores string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
 def redact(docs: DataFrame, model: CharCnn | None = None, text_col: str = "text") -> DataFrame:
-    """The same rows with each finding (overlapping ones together) replaced by ``<kind>``; clean texts stay as they
-    are, null stays null. ``n_chars``, where there is one, follows the text."""
+    """The same rows with each finding replaced by ``<kind>``, those that overlap together by that of the first to start (ties:
+    the kind listed first); clean texts stay as they are, null stays null, empty stays empty, repeated rows and all other
+    columns stay, whatever their names. ``n_chars``, where there is one, follows the text. No rows give none."""
     model = model or trained()
     where = docs.columns.index(text_col)
 

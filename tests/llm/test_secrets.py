@@ -84,3 +84,81 @@ def test_secret_beside_a_pattern_is_found(docs):
     (spans,) = secrets.scan_texts([text], secrets.trained())
     assert [(s, k, e) for s, k, e, _ in spans] == [(3, 2, 27), (3, 3, len(text) - 4)]
     assert secrets.redact(docs((1, text))).first()["text"] == "id <hex> end"
+
+
+def plain_probability(model, text, start, end):
+    """The network in loops: every window of a candidate, every position, every filter."""
+    best = 0.0
+    for x in secrets.views(text, start, end):
+        acts = []
+        for at in range(len(x) - secrets.WIDTH + 1):
+            patch = x[at : at + secrets.WIDTH].reshape(-1).astype(float)
+            acts.append([max(0.0, float(patch @ model.kernel[:, f]) + float(model.shift[f])) for f in range(secrets.FILTERS)])
+        pooled = [max(a[f] for a in acts) for f in range(secrets.FILTERS)] + [sum(a[f] for a in acts) / len(acts) for f in range(secrets.FILTERS)]
+        z = sum(h * float(w) for h, w in zip(pooled, model.out)) + float(model.bias)
+        best = max(best, 1 / (1 + np.exp(-(model.scale * z + model.offset))))
+    return best
+
+
+def test_model_spans_against_brute_force():
+    """Every run compared with every pattern finding of its text, and the network in loops."""
+    model = secrets.trained()
+    texts = [t for t in TEXTS if t and len(t) < 2000]
+    fresh = secrets.labelled_findings(120, seed=77)
+    texts += [" ".join(t for t, *_ in fresh[k : k + 6]) for k in range(0, 120, 6)]
+    added = 0
+    for text, got in zip(texts, secrets.scan_texts(texts, model)):
+        base = plain_base(text)
+        runs = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}", text)]
+        runs = [(s, e) for s, e in runs if any(c.isalpha() for c in text[s:e]) and any(c.isdigit() for c in text[s:e])]
+        want = []
+        for s, k, e in base:
+            near = [r for r in runs if r[0] < e and s < r[1]]
+            want.append((s, k, e, max(plain_probability(model, text, *r) for r in [(s, e), *near])))
+        for r in runs:
+            p = plain_probability(model, text, *r)
+            if p >= model.threshold and not any(s <= r[0] and r[1] <= e for s, _, e in base):
+                want.append((r[0], 3, r[1], p))
+                added += 1
+        want = sorted(want)
+        assert [x[:3] for x in got] == [x[:3] for x in want], text
+        assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-4)
+    assert added > 10
+
+
+def test_harmless_findings_stay():
+    rng, model = np.random.default_rng(3), secrets.trained()
+    wrong = 0
+    for _ in range(200):
+        h = "".join(rng.choice(list("0123456789abcdef"), 32))
+        uuid = f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+        wrong += secrets.scan_texts([f"row {uuid} of the table"], model) != [[]]
+        wrong += secrets.scan_texts([f"the sha1: {h.upper()} of the file"], model) != [[]]
+    assert wrong <= 8
+
+
+def test_threshold_follows_recall():
+    """No floor stands above what the recall asks for."""
+    model = secrets.CharCnn().fit([(t, s, e, int(k or i % 4 == 1)) for i, (t, s, e, k) in enumerate(secrets.labelled_findings(800, 5))])
+    tail = [(t, s, e, int(k or i % 4 == 1)) for i, (t, s, e, k) in enumerate(secrets.labelled_findings(800, 5))][600:]
+    p = model.probability(np.stack([secrets.window(t, s, e) for t, s, e, _ in tail]))
+    assert (p[np.array([k for *_, k in tail]) == 1] >= model.threshold).mean() >= secrets.RECALL
+
+
+def test_many_keys_in_one_text_cost_in_proportion():
+    rng, model = np.random.default_rng(1), secrets.trained()
+    keys = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 30)) for _ in range(12000)]
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        began = time.process_time()
+        secrets.scan_texts([" ".join(f"token={k}" for k in keys[:n])], model)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_redaction_of_overlaps_and_repeats(docs):
+    text = "token=0123456789abcdef01234567 token=0123456789abcdef01234567"
+    frame = docs((1, text), (1, text), (2, ""))
+    assert sorted(r["text"] for r in secrets.redact(frame).collect()) == ["", "<assign> <assign>", "<assign> <assign>"]
