@@ -37,7 +37,7 @@ def test_min_bytes_and_odd_ids(spark):
 def test_files_are_deterministic_and_readable(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"page {i % 7} " * 50) for i in range(100)]
     for name in ("a", "b"):
-        warc.write(table(spark, rows), f"file://{tmp_path}/{name}", roll_bytes=1500)
+        warc.write(table(spark, rows).repartition(3 if name == "a" else 11), f"file://{tmp_path}/{name}", roll_bytes=1500, shard_bytes=20_000)
     names = sorted(p.name for p in (tmp_path / "a").glob("*.warc.gz"))
     assert len(names) > 3 and names == sorted(p.name for p in (tmp_path / "b").glob("*.warc.gz"))
     for n in names:
@@ -54,3 +54,50 @@ def test_damage_raises(spark, tmp_path):
     part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes()).replace(b"text", b"test")))
     with pytest.raises(Exception, match="damaged"):
         warc.read(spark, root).collect()
+
+
+def test_shards_do_not_hang_on_how_rows_come(spark, tmp_path):
+    """More rows than any sample of a range partitioner holds: 400,000, in another order and other partitions."""
+    base = spark.range(400_000).selectExpr("id * 7 as page_id", "concat('u', id) as url", "concat('p', id % 1000) as html")
+    warc.write(base, f"file://{tmp_path}/a", shard_bytes=100_000)
+    warc.write(base.orderBy("html").repartition(13), f"file://{tmp_path}/b", shard_bytes=100_000)
+    a, b = ({p.name: p.read_bytes() for p in (tmp_path / n).glob("*.warc.gz")} for n in "ab")
+    assert len(a) > 10 and a == b
+
+
+def test_one_id_in_many_shards(spark, tmp_path):
+    rows = [(None if i % 2 else 5, "u", f"text {i}") for i in range(400)] + [(9, "u", f"text {i}") for i in range(0, 40, 2)]
+    warc.write(table(spark, rows), f"file://{tmp_path}/w", shard_bytes=400)
+    sizes = [len(list(warc.records(io.BytesIO(gzip.decompress(p.read_bytes()))))) for p in (tmp_path / "w").glob("*.warc.gz")]
+    assert sum(sizes) == 420 and len(sizes) > 5 and max(sizes) < 80
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r["refers_to"] for r in got if r["record_type"] == "revisit") == [5] * 20
+
+
+def test_incomplete_archives_are_refused(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, root)
+    rows = [(i, "u", f"text {i}") for i in range(50)]
+    warc.write(table(spark, rows), root, shard_bytes=100)
+    with pytest.raises(FileExistsError):
+        warc.write(table(spark, rows), root)
+    assert warc.read(spark, root).count() == 50
+    stray = tmp_path / "w" / "manifest" / "shard-999999.json"  # of a run that was broken off
+    stray.write_text('{"name": "part-999999-0000.warc.gz", "bytes": 1, "records": 1, "sha1": ""}')
+    assert warc.read(spark, root).count() == 50
+    lost = tmp_path / "w" / "manifest" / "shard-000002.json"
+    text = lost.read_text()
+    lost.unlink()
+    with pytest.raises(FileNotFoundError, match="lost 1 shards"):
+        warc.read(spark, root)
+    lost.write_text(text.replace('"records": ', '"records": 1'))
+    (tmp_path / "w" / "manifest" / ".shard-000002.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="listed"):
+        warc.read(spark, root)
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    rows = [(i, "u", str(i) * 700) for i in range(20)]
+    assert warc.round_trip(table(spark, rows)).count() == 20
