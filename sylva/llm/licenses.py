@@ -1,17 +1,17 @@
 """License scans, with DataFrame functions only.
 
-Header units are the lines of a text that speak of licensing (``TRIGGER``), wherever they stand; a licence file
-(``LICENCE_FILE`` by name) is a unit as a whole, too. Units and templates are sparse TF-IDF vectors, IDF being counted
-over the templates; a unit's licence is the template of highest cosine, from ``LEAST`` on. A file's own licence is its
-best unit's. Lines alone lose what is wrapped, so the paragraphs that speak of licensing are also read as running words,
-comment marks left out: ``PASSAGES`` are scored by containment, the share of their three-word runs that the file's
-paragraphs hold, and one that reaches ``LEAST`` goes before the lines (the one with most runs held wins, so that a text
-goes to the licence it quotes most of). Where lines and passages say nothing, a line that is a title or a short notice
-(``NOTICES``) as a whole counts. A directory's is that of the best licence file in it, and files without one of their own inherit from the
-nearest directory above that has one: directories are few against files, so each distinct directory meets its
+Units are the lines of a text that speak of licensing (``TRIGGER``), wherever they stand, and its header block: the
+paragraphs that speak of licensing, together, as running words; a licence file (``LICENCE_FILE`` by name) is a unit as a
+whole, too. Units and templates (short notices, wrapped headers, whole licence texts) are sparse TF-IDF vectors, IDF being
+counted over the templates; a unit's licence is the template of highest cosine, from ``LEAST`` on. A file's own licence
+is that of its header block or whole where these reach ``LEAST``: a single line of a wrapped header fits several
+licences. Else, as in a header amid other text, ``PASSAGES`` are scored by containment: the share of their three-word
+runs that the file's paragraphs hold (the one with most runs held wins, so that a text goes to the licence it quotes most
+of). Then its best line counts, and last a line that is a title or a short notice (``NOTICES``) as a whole. A directory's licence is that of the best licence file in it, and files without one of their own inherit
+from the nearest directory above that has one: directories are few against files, so each distinct directory meets its
 ancestors by an equi join on path prefixes, and files then join on their directory.
 
-The term weights (``weights()``, some hundred rows) are fixed by the templates, not by the data; only they are
+The term weights (``weights()``, some thousand rows) are fixed by the templates, not by the data; only they are
 broadcast.
 """
 
@@ -26,7 +26,59 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-# Notices and headers of common licences, by SPDX name.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by
+the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."""
+_GNU_SHORT = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_NAMES = (
+    ("GPL-3.0", "GNU General Public License", "3"),
+    ("GPL-2.0", "GNU General Public License", "2"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3"),
+)
+# Notices, headers and whole texts of common licences, by SPDX name.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -53,6 +105,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, all copyright has been waived. CC0 1.0 Universal public domain dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", _MIT),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-2-Clause", _BSD_HEAD),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_NAME} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_NAME}"),
+    ("ISC", _ISC),
+    ("Unlicense", _UNLICENSE),
+    ("Apache-2.0", _APACHE_NOTICE),
+    ("MPL-2.0", _MPL_NOTICE),
+    *((spdx, form.format(name, version)) for spdx, name, version in _GNU_NAMES for form in (_GNU_NOTICE, _GNU_SHORT)),
 )
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|hereby granted|redistribut"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
@@ -120,11 +182,14 @@ def weights() -> tuple[dict[str, float], float, list[tuple[str, int, str, float]
 
 
 def header_units():
-    """The array of a file's units: every header line, and the whole of a licence file. Needs path and text."""
+    """The array of a file's units ``(line, text)``: the header block, the whole of a licence file, and every line that
+    speaks of licensing. Needs path and text."""
     name = F.substring_index("path", "/", -1)
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(TRIGGER))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)), F.concat(lines, F.when(F.col("text").rlike(TRIGGER), F.array("text")).otherwise(none))).otherwise(lines)
+    unit = lambda line, text: F.struct(F.lit(line).alias("line"), text.alias("text"))
+    none = F.array().cast("array<struct<line: boolean, text: string>>")
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER)), lambda x: unit(True, x))
+    whole = F.when(F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)), F.array(unit(False, F.col("text")))).otherwise(none)
+    return F.when(F.col("text").rlike(TRIGGER), F.concat(F.array(unit(False, F.array_join(_paragraphs(), " "))), whole, lines)).otherwise(none)
 
 
 def classify(unit_rows: DataFrame) -> DataFrame:
@@ -143,10 +208,14 @@ def classify(unit_rows: DataFrame) -> DataFrame:
     return best.select("path", "unit", F.col("x.licence").alias("licence"), (-F.col("x.col1")).alias("score"))
 
 
+def _paragraphs():
+    """The paragraphs (up to a line without letter or digit) that speak of licensing."""
+    return F.filter(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda x: x.rlike(STRETCH))
+
+
 def stretches():
-    """The array of a file's paragraphs (up to a line without letter or digit) that speak of licensing. Needs text."""
-    paragraphs = F.filter(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda x: x.rlike(STRETCH))
-    return F.when(F.col("text").rlike(TRIGGER), paragraphs).otherwise(F.array().cast("array<string>"))
+    """The paragraphs of a text that speak of licensing; none where the whole does not. Needs text."""
+    return F.when(F.col("text").rlike(TRIGGER), _paragraphs()).otherwise(F.array().cast("array<string>"))
 
 
 def _words(text: str):
@@ -183,14 +252,16 @@ def scan(files: DataFrame) -> DataFrame:
     there is none) and ``effective``.
 
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing. Rows that
-    repeat a path count as one file with the units of all, and each is returned.
+    repeat a path count as one file with the units of all, and each is returned. Long texts are read whole. Of licences
+    that score the same the first by name wins. Only path and text are read, so other columns cannot clash. An empty
+    table gives no rows.
     """
     # Each text is read once: what the later steps need of it is written as paths, header units and paragraphs.
     slim = Scratch(files.select("path", header_units().alias("units"), stretches().alias("stretches")), "headers").df
     files = slim
-    units = slim.where("path is not null").select("path", F.posexplode("units").alias("unit", "text"))
-    found = classify(units).where(F.col("score") >= LEAST).select(F.lit(1).alias("rank"), "path", "licence", "score")
-    found = found.unionByName(passages(slim.where("path is not null")).withColumn("rank", F.lit(0))).unionByName(notices(units).withColumn("rank", F.lit(2)))
+    units = slim.where("path is not null").select("path", F.posexplode("units").alias("unit", "u")).select("path", F.when(F.col("u.line"), F.col("unit")).otherwise(-1 - F.col("unit")).alias("unit"), "u.text")
+    found = classify(units).where(F.col("score") >= LEAST).select(F.when(F.col("unit") < 0, 0).otherwise(2).alias("rank"), "path", "licence", "score")
+    found = found.unionByName(passages(slim.where("path is not null")).withColumn("rank", F.lit(1))).unionByName(notices(units.where("unit >= 0")).withColumn("rank", F.lit(3)))
     own = found.groupBy("path").agg(F.min(F.struct("rank", -F.col("score"), "licence")).alias("x")).select("path", F.col("x.licence").alias("licence"), (-F.col("x.col2")).alias("score"))
     own = Scratch(own, "licences").df
     declared = own.where(F.substring_index("path", "/", -1).rlike(LICENCE_FILE)).groupBy(directory_of().alias("above")).agg(F.min(F.struct(-F.col("score"), "licence")).alias("x"))

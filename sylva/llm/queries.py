@@ -10,16 +10,18 @@ from .common import WORD, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files of a tree source/language/thousand; short ones stand as licence files, the shorter the
-    higher up."""
-    docs = table(spark, sf_dir, "documents").withColumn("n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
+    """All documents as files of a tree source/language/thousand. One whose first 200 characters speak of licensing
+    stands as a licence file; the first digit of its id's digest says how high up."""
+    docs = table(spark, sf_dir, "documents")
     top = F.coalesce("source", F.lit("none"))
     lang = F.coalesce("lang", F.lit("none"))
+    number = F.col("doc_id").cast("string")
     leaf = F.concat_ws("/", top, lang, F.floor(F.col("doc_id") / 1000).cast("string"))
-    notice = F.concat(F.lit("/LICENSE."), F.col("doc_id").cast("string"))
-    place = F.when(F.col("n") < 20, F.concat(top, notice)).when(F.col("n") < 40, F.concat(top, F.lit("/"), lang, notice)).when(F.col("n") < 60, F.concat(leaf, notice))
-    docs = docs.withColumn("path", place.otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))).select("path", "text")
-    return licenses.scan(docs).withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long"))
+    digit = F.substring(F.md5(number), 1, 1)
+    above = F.when(digit < "2", top).when(digit < "6", F.concat_ws("/", top, lang)).otherwise(leaf)
+    stands = F.coalesce(F.substring("text", 1, 200).rlike(licenses.TRIGGER), F.lit(False))
+    path = F.when(stands, F.concat(above, F.lit("/LICENSE."), number)).otherwise(F.concat(leaf, F.lit("/"), number, F.lit(".txt")))
+    return licenses.scan(docs.select(path.alias("path"), "text")).withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,20 +73,24 @@ def _license_sql() -> str:
     vectors = ", ".join(f"('{t}', {k}, '{name}', {w!r}::DOUBLE)" for t, k, name, w in rows)
     return rf"""
 WITH idf(term, idf) AS (VALUES {words}), vectors(term, template, licence, weight) AS (VALUES {vectors}),
-sized AS (SELECT doc_id, text, source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents),
-files AS (
-  SELECT doc_id, text, CASE WHEN n < 20 THEN source || '/LICENSE.' || doc_id WHEN n < 40 THEN source || '/' || lang || '/LICENSE.' || doc_id
-    WHEN n < 60 THEN source || '/' || lang || '/' || doc_id // 1000 || '/LICENSE.' || doc_id ELSE source || '/' || lang || '/' || doc_id // 1000 || '/' || doc_id || '.txt' END AS path
-  FROM sized),
-lines AS (SELECT path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TRIGGER}')) AS ls FROM files),
-wholes AS (SELECT path, CASE WHEN len(ls) > 0 AND regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.LICENCE_FILE}') THEN list_append(ls, text) ELSE ls END AS us FROM lines),
-units AS (SELECT path, unnest(range(len(us))) AS unit, unnest(us) AS text FROM wholes),
+placed AS (
+  SELECT doc_id, text, coalesce(source, 'none') AS top, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS two, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id // 1000 AS leaf,
+    substr(md5(doc_id::VARCHAR), 1, 1) AS digit, coalesce(regexp_matches(substr(text, 1, 200), '{licenses.TRIGGER}'), false) AS stands
+  FROM documents),
+files AS (SELECT doc_id, text, CASE WHEN NOT stands THEN leaf || '/' || doc_id || '.txt' WHEN digit < '2' THEN top || '/LICENSE.' || doc_id WHEN digit < '6' THEN two || '/LICENSE.' || doc_id ELSE leaf || '/LICENSE.' || doc_id END AS path FROM placed),
+lines AS (
+  SELECT path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TRIGGER}')) AS ls,
+    array_to_string(list_filter(regexp_split_to_array(text, '\n(?:[^\p{{L}}\p{{N}}\n]*\n)+'), lambda x: regexp_matches(x, '{licenses.STRETCH}')), ' ') AS block
+  FROM files WHERE regexp_matches(text, '{licenses.TRIGGER}')),
+wholes AS (SELECT path, ls, CASE WHEN regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.LICENCE_FILE}') THEN [block, text] ELSE [block] END AS blocks FROM lines),
+units AS (SELECT path, unnest(range(len(blocks) + len(ls))) - len(blocks) AS unit, unnest(list_concat(blocks, ls)) AS text FROM wholes),
 counted AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT path, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
 tfidf AS (SELECT path, unit, term, tf * coalesce(idf, {unseen!r}::DOUBLE) AS v FROM counted LEFT JOIN idf USING (term)),
 norms AS (SELECT path, unit, sqrt(sum(v * v)) AS norm FROM tfidf GROUP BY ALL),
 dots AS (SELECT path, unit, template, licence, sum(v * weight) AS dot FROM tfidf JOIN vectors USING (term) GROUP BY ALL),
-best AS (SELECT path, licence, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY path ORDER BY round(dot / norm, 6) DESC, licence) AS k FROM dots JOIN norms USING (path, unit)),
-own AS (SELECT path, licence, score FROM best WHERE k = 1 AND score >= {licenses.LEAST}),
+scored AS (SELECT path, unit >= 0 AS line, licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, unit)),
+best AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, score DESC, licence) AS k FROM scored WHERE score >= {licenses.LEAST}),
+own AS (SELECT path, licence, score FROM best WHERE k = 1),
 declared AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS above, licence AS inherited,
          row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, licence) AS k

@@ -84,3 +84,26 @@ def test_wrapped_headers_and_whole_texts(spark):
     }
     got = scan(spark, *[(path, text) for path, (text, _) in rows.items()])
     assert {path: got[path]["effective"] for path in rows} == {path: want for path, (_, want) in rows.items()}
+
+
+def test_whole_texts_by_cosine_alone(spark):
+    texts = {
+        "MIT": f"MIT License\n\nCopyright (c) 2024 Some Body\n\n{licenses._MIT}",
+        "ISC": f"ISC License\n\nCopyright 2024, Some Body\n\n{licenses._ISC}",
+        "BSD-2-Clause": f"Copyright (c) 2024, Some Body\nAll rights reserved.\n\n{licenses._BSD_HEAD}\n\n{licenses._BSD_TAIL}",
+        "BSD-3-Clause": f"Copyright (c) 2024, Some Body\n\n{licenses._BSD_HEAD}\n\n{licenses._BSD_NAME}\n\n{licenses._BSD_TAIL}",
+        "Apache-2.0": f"Copyright 2024 Some Body\n\n{licenses._APACHE_NOTICE}",
+    }
+    frame = spark.createDataFrame([(f"{k}/LICENSE", t) for k, t in texts.items()], "path string, text string")
+    units = frame.withColumn("u", licenses.header_units()).selectExpr("path", "posexplode(u) as (unit, x)").where("not x.line").selectExpr("path", "unit", "x.text")
+    best = {}
+    for r in licenses.classify(units).collect():
+        best[r["path"]] = max(best.get(r["path"], (0, "")), (r["score"], r["licence"]))
+    assert {p: name for p, (_, name) in best.items()} == {f"{k}/LICENSE": k for k in texts}
+    assert min(s for s, _ in best.values()) > 0.9
+
+
+def test_clashing_columns_and_repeated_paths(spark):
+    rows = [("a/x", "code", 1, "u"), ("a/x", "# SPDX-License-Identifier: MIT", 2, "v"), ("a/x", "code", 3, "w")]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, unit int, licence string")).collect()
+    assert [r["licence"] for r in got] == ["MIT"] * 3 and "unit" not in got[0].asDict()
