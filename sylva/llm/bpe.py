@@ -37,17 +37,23 @@ TOGETHER = 3_000_000
 
 
 class TrieEncoder:
-    """A word-end BPE vocabulary of the tokenizers library's JSON format, encoding by trie traversal."""
+    """A word-end BPE vocabulary of the tokenizers library's JSON format, encoding by trie traversal.
+
+    The format allows other normalisers, splitters and models than the one this follows (lower-cased words with a word-end
+    mark, byte letters, unmerged special tokens without white space); a file with any of them raises ValueError."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._require(spec)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        # A chunk without any of these has no special token in it.
+        self.marks = sorted({t[:2] for t in self.special})
         self.names = {v: k for k, v in (self.ids | self.special).items()}
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -62,6 +68,20 @@ class TrieEncoder:
         self.memo: dict[str, tuple[str, str]] = {"": ("", "")}
         self.said = {n: str(n) for n in self.ids.values()}.__getitem__
 
+    @staticmethod
+    def _require(spec: dict) -> None:
+        model, cut = spec["model"], spec["pre_tokenizer"]
+        parts = [x["type"] for x in cut.get("pretokenizers", [cut])]
+        steps = [x["type"] for x in spec["normalizer"].get("normalizers", [spec["normalizer"]])]
+        known = {
+            "type": model["type"] == "BPE", "end_of_word_suffix": model.get("end_of_word_suffix") == END, "dropout": not model.get("dropout"),
+            "continuing_subword_prefix": not model.get("continuing_subword_prefix"), "ignore_merges": not model.get("ignore_merges"),
+            "normalizer": steps == ["NFC", "Replace", "Lowercase"], "pre_tokenizer": parts == ["Split", "ByteLevel"], "decoder": spec.get("decoder") is None,
+            "added_tokens": all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not regex.search(r"\s", t["content"]) for t in spec["added_tokens"]),
+        }
+        if wrong := [k for k, ok in known.items() if not ok]:
+            raise ValueError(f"not a vocabulary of this kind: {', '.join(wrong)}")
+
     @staticmethod
     def _byte_letters() -> list[str]:
         """The printable letter for each byte, as byte-level vocabularies define it: printable Latin-1 stands for
@@ -153,12 +173,12 @@ class TrieEncoder:
 
     def solve(self, chunks) -> None:
         """Fills the memo for chunks (stretches of text between white space): ids and decoded text of each."""
-        cut = {c: self.words_of(c) for c in chunks if "<|" not in c}
-        marked = {c: [[p] if p in self.special else self.words_of(p) for p in self.split_special.split(c)] for c in chunks if "<|" in c}
+        special = {c for m in self.marks for c in chunks if m in c}
+        cut = {c: self.words_of(c) for c in chunks if c not in special}
+        marked = {c: [[p] if p in self.special else self.words_of(p) for p in self.split_special.split(c)] for c in special}
         words = set().union(*cut.values(), *(p for parts in marked.values() for p in parts)).difference(self.special)
-        named = self.names.__getitem__
-        out = {w: (" ".join(map(self.said, tokens)), " ".join(map(named, tokens))) for w, tokens in self.encode_words(words).items()}
-        out |= {t: (str(n), t) for t, n in self.special.items()}
+        out = {w: (" ".join(map(self.said, tokens)), self.decode(tokens)) for w, tokens in self.encode_words(words).items()}
+        out |= {t: (str(n), self.decode([n])) for t, n in self.special.items()}
         memo = self.memo
         for c, own in cut.items():
             memo[c] = out[own[0]] if len(own) == 1 else (" ".join([out[w][0] for w in own]), " ".join([out[w][1] for w in own]))
@@ -168,7 +188,7 @@ class TrieEncoder:
 
     def decode(self, numbers) -> str:
         """The text of token ids; ids outside the vocabulary are left out. The format defines no decoder, so tokens
-        stand as they are, joined by one space."""
+        stand as they are, joined by one space; so texts may be decoded piece by piece."""
         names = self.names
         return " ".join([names[n] for n in numbers if n in names])
 
@@ -241,7 +261,9 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, made where the text is read.
 
-    Null and empty texts have no tokens and the digests of an empty string; repeated rows and ids are each returned.
+    Null and empty texts have no tokens and the digests of an empty string; repeated rows and ids are each returned. Long
+    texts are encoded whole, also those of one word. Only the two columns are read, so others cannot clash; no rows give
+    none.
     """
 
     def work(batches):

@@ -54,3 +54,16 @@ def test_queries(spark, docs):
     whole = bpe.tokenise(docs((1, "it's a test"), (2, None)), PATH).orderBy("doc_id").collect()
     assert " ".join(map(str, whole[0]["ids"])) == library("it's a test")[0] and whole[1]["ids"] == [] and whole[1]["decoded"] == ""
     assert bpe.digests(docs(), PATH).collect() == []
+
+
+def test_other_kinds_of_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["end_of_word_suffix"] = None
+    spec["normalizer"]["normalizers"].pop()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="end_of_word_suffix, normalizer"):
+        bpe.TrieEncoder(str(other))
