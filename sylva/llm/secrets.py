@@ -282,8 +282,11 @@ def redact(docs: DataFrame, model: CharCnn | None = None, text_col: str = "text"
                             parts += [text[upto:s], f"<{KINDS[k]}>"]
                         upto = max(upto, e)
                     done.append("".join([*parts, text[upto:]]) if spans else text)
-            yield b.set_column(where, text_col, pa.array(done, b.schema.field(where).type))
+            columns = [*b.columns[:where], pa.array(done, b.schema.field(where).type), *b.columns[where + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     small_batches(docs.sparkSession)
-    out = docs.mapInArrow(work, docs.schema)
+    names = docs.columns
+    # Spark looks the columns up by name on the way to Python, which a dot in one would break.
+    out = docs.toDF(*[f"_{k}" for k in range(len(names))]).mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
