@@ -1,15 +1,18 @@
 """Substring dedup by recompression.
 
-A round renames adjacent symbols of every text: first runs of one word become a symbol, then, in each of ``ROUNDS``
-rounds, a pair becomes a symbol when a coin tossed by name (and round) falls heads for its left and tails for its
-right member. A name is a hash of what it stands for, so naming is global: equal pairs get equal names in every task
-without exchanging tables. Whether two symbols join depends on themselves alone, so equal stretches of text get equal
+Adjacent symbols of every text are renamed level by level: first runs of one word become a symbol, then, in each of
+``ROUNDS`` steps, a pair becomes a symbol when a coin tossed by name (and step) falls heads for its left and tails for
+its right member. A name is a 64-bit hash of what it stands for, so naming is global: equal pairs get equal names in every
+task without exchanging tables. Whether two symbols join depends on themselves alone, so equal stretches of text get equal
 symbols but near their ends; each symbol carries the words its existence depends on, which makes "inside" exact.
 
-Every window of ``WINDOW`` words is represented by its anchor: the longest symbol that the window's own words settle
-(ties: the larger name). Equal windows have equal anchors. Neighbouring windows mostly share theirs, so texts give
-about a quarter as many distinct anchors as words. Anchors seen in one document only rule out all their windows; for
-the others the windows themselves are named by 128 bits and the smallest document of each name is found.
+Two Spark rounds then name and count over all texts, each carrying on only what two or more documents have:
+
+1. Every window of ``WINDOW`` words is represented by its anchor, the longest symbol that the window's own words settle
+   (ties: the larger name). Equal windows have equal anchors; neighbouring windows mostly share theirs, so texts give
+   about a quarter as many distinct anchors as words. An anchor of one document rules all its windows out.
+2. The windows behind shared anchors are verified by their words: each is named by SHA-256 (128 bits of it) of the words
+   themselves, and the smallest document of each name is found. Names of words that collide so cost time, never a result.
 
 Exact copies of a text are set aside first (every window of theirs is in the first copy), so a group of copies of any
 size costs one row per copy. Aggregates combine on the map side and the joins back can split hot keys.
@@ -41,13 +44,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+#: The name of a word.
+NAME = xxhash.xxh64_intdigest
+
+
 def name_words(texts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each text, their names one text after another, and where each text starts (and the last ends)."""
     words = [t.encode().split() if t else [] for t in texts]
     starts = np.cumsum([0, *map(len, words)])
     names = np.empty(starts[-1], np.uint64)
     for at, own in zip(starts, words):
-        names[at : at + len(own)] = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+        names[at : at + len(own)] = np.fromiter(map(NAME, own), np.uint64, len(own))
     return words, names, starts
 
 
@@ -107,13 +114,11 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tupl
     return where, best[where]
 
 
-def window_names(names: np.ndarray, where: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.zeros(len(where), np.uint64), np.zeros(len(where), np.uint64)
-    for k in range(window):
-        w = names[where + k]
-        a = _mix(a * U(31) + w)
-        b = _mix((b ^ w) * U(0xC2B2AE3D27D4EB4F) + U(k))
-    return a.view(np.int64), b.view(np.int64)
+def window_names(words: list[bytes], places: np.ndarray, window: int = WINDOW) -> bytes:
+    """16 bytes for the window at each place: of the SHA-256 of its words, joined by one space."""
+    text = b" ".join(words)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    return b"".join([hashlib.sha256(text[s : e - 1]).digest()[:16] for s, e in zip(at[places].tolist(), at[places + window].tolist())])
 
 
 def _together(texts):
@@ -153,7 +158,7 @@ def _emit_windows(batches):
     for b in batches:
         texts, shared = b.column(2).to_pylist(), b.column(3)
         for at, upto in _together(texts):
-            _, names, starts = name_words(texts[at:upto])
+            words, names, starts = name_words(texts[at:upto])
             where, found = anchors(names, starts)
             row = np.searchsorted(starts, where, "right") - 1
             own = shared.slice(at, upto - at)
@@ -161,10 +166,12 @@ def _emit_windows(batches):
             known = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             hit = np.isin(found ^ _mix(row.astype(U)), known ^ _mix(of.astype(U)))
             where, row = where[hit], row[hit]
-            a, c = window_names(names, where)
+            place = where - starts[row]
+            cut = np.searchsorted(row, np.arange(upto - at + 1))
+            said = b"".join([window_names(own, place[i:j]) for own, i, j in zip(words, cut[:-1], cut[1:]) if i < j])
+            name = np.frombuffer(said, np.int64).reshape(-1, 2)
             rows = pa.array(row + at)
-            place = pa.array((where - starts[row]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), place, pa.array(a), pa.array(c)], ["doc_id", "key", "place", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(name[:, 0]), pa.array(name[:, 1])], ["doc_id", "key", "place", "a", "b"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -200,8 +207,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per row of docs: ``doc_id, n_words, n_removed, kept`` (the words that stay, joined by one space) and
     its ``kept_sha256``.
 
-    Null and empty texts have no words; texts under WINDOW words keep all. Rows without an id lose nothing and take
-    nothing from others. Rows repeated with id and text are each returned and take nothing from one another.
+    Null and empty texts have no words; texts under WINDOW words keep all; long ones are never split. Rows without an id
+    lose nothing and take nothing from others. Rows of one id, whether their texts are equal or not, take nothing from one
+    another, and each is returned. Only the two columns are read, so others cannot clash; no rows give none.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD
 
@@ -74,3 +75,44 @@ def test_odd_rows(docs):
     got = result(recompression.dedup(docs(*rows)))
     assert len(got) == len(rows) and got == brute(rows)
     assert recompression.dedup(docs()).collect() == []
+
+
+def test_names_of_words_that_collide_change_nothing(spark):
+    """Word names of two bits only: whole windows of different words then share all their symbols. The operator runs in
+    the workers, so the names are forced there by way of a function of its own module."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(40)}"
+    passages = [[word() for _ in range(30)] for _ in range(4)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + rng.choice(passages) + [word() for _ in range(20)])) for i in range(60)]
+    real = recompression.NAME
+    recompression.NAME = lambda w: len(w) & 1
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["doc_id", "key", "text"])
+        named = [x for b in recompression._emit_anchors([batch]) for x in b.to_pylist()]
+        by = {}
+        for x in named:
+            by.setdefault(x["doc_id"], []).append(x["anchor"])
+        suspected = batch.append_column("anchors", pa.array([by.get(i, []) for i, _ in rows], pa.list_(pa.int64())))
+        where, anchor = recompression.anchors(*recompression.name_words([t for _, t in rows])[1:])
+        flat = [w for _, t in rows for w in t.split()]
+        behind = {}
+        for p, a in zip(where, anchor):
+            behind.setdefault(a, set()).add(tuple(flat[p : p + 13]))
+        assert sum(len(x) > 1 for x in behind.values()) > 100  # anchors that stand for windows of different words
+        windows = [x for b in recompression._emit_windows([suspected]) for x in b.to_pylist()]
+    finally:
+        recompression.NAME = real
+    first = {}
+    for x in windows:
+        first[x["a"], x["b"]] = min(first.get((x["a"], x["b"]), x["doc_id"]), x["doc_id"])
+    gone = {}
+    for x in windows:
+        if first[x["a"], x["b"]] < x["doc_id"]:
+            gone.setdefault(x["doc_id"], set()).update(range(x["place"], x["place"] + 13))
+    assert [(i, len(gone.get(i, ()))) for i, _ in rows] == [(i, n) for i, _, n, _ in sorted(brute(rows))]
+
+
+def test_window_names_are_of_the_words():
+    words = [b"a", b"bc", b"d"] * 9
+    name = recompression.window_names(words, np.array([0, 1, 3]))
+    assert name[:16] == name[32:] == hashlib.sha256(b" ".join(words[:13])).digest()[:16] != name[16:32]
