@@ -98,7 +98,7 @@ def test_names_of_words_that_collide_change_nothing(spark):
         behind = {}
         for p, a in zip(where, anchor):
             behind.setdefault(a, set()).add(tuple(flat[p : p + 13]))
-        assert sum(len(x) > 1 for x in behind.values()) > 100  # anchors that stand for windows of different words
+        assert sum(len(x) > 1 for x in behind.values()) > len(behind) / 2  # anchors that stand for windows of different words
         windows = [x for b in recompression._emit_windows([suspected]) for x in b.to_pylist()]
     finally:
         recompression.NAME = real
