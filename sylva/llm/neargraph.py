@@ -1,24 +1,30 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors of a label become one node that carries its count. A label with many nodes is cut into shards around
-centroids, each node belonging to its ``overlap`` nearest ones. In every shard the nodes' nearest candidates are pruned
-by the robust rule (a candidate goes when a kept one is ``ALPHA`` times closer to it than the node is), and a node's
-lists from all its shards are united. Nearest-neighbour lists leave some nodes of a dense group without any link into
-them, so each node is also linked with the two next to it in the order of nearest medoid and similarity to it. Each node then is a query: a greedy beam search from the shard's medoids, then
-an expansion through everything within ``SLACK`` of the threshold. What it finds is verified by cosine in double
-precision. A pair counts for both its nodes whichever of them found it, in the first shard that both share: pairs that
-meet in a later shard too are compared exactly in the first, so none that a later one finds is left uncounted. There
-also a spanning star of each component is kept, so a dense group costs rows in proportion to its members.
+centroids, each node belonging to its ``overlap`` nearest ones; a shard that is still large is cut again, so that shards
+stay small at any size, unless centroids cannot part its nodes (a dense group). In every shard the nodes' nearest
+candidates are pruned by the robust rule (a candidate goes when a kept one is ``ALPHA`` times closer to it than the node
+is), and a node's lists from all its shards are united. Nearest-neighbour lists leave some nodes of a dense group without
+any link into them, so each node is also linked with the two next to it in the order of nearest medoid and similarity to
+it. Each node then is a query: a greedy beam search from the shard's medoids, then an expansion through everything within
+``SLACK`` of the threshold. What it finds is verified by cosine in double precision. A pair counts for both its nodes
+whichever of them found it, in the first shard that both share: pairs that meet in a later shard too are compared exactly
+in the first, so none that a later one finds is left uncounted, and none counts twice. There also a spanning star of each
+component is kept, so a dense group costs rows in proportion to its members. A dense group of more than ``PART_ROWS``
+nodes is dealt to blocks, and a task compares two of them, all pairs.
 
 Finding is approximate: queries, whose number grows with the table, are compared with all rows of their label, and
-while recall is under ``LEAST_RECALL`` the graph is built again with twice the overlap. Recall is the mean over the
-queries that have a true link, and those with few links must reach it by themselves. Where it is still missed after
-``TRIES``, or too few queries have a link to tell, all pairs of each label are compared instead, in blocks. Links are
-never wrong.
+while recall is under ``LEAST_RECALL`` the graph is built again with twice the overlap. Queries are the ids divisible by
+50 (up to ``MOST_AUDIT`` of them, by hash), and others where these are few. Recall is the mean over the queries that have
+a true link of the share of their links that was found, and those with few links must reach it by themselves; as links are
+never wrong and counted once, shares of counts are shares of links. The log has it. Where it is still missed after
+``TRIES``, or too few queries have a link to tell, all pairs of each label are compared instead, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,13 +33,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components
 from .simhash import forest
 
+LOG = logging.getLogger(__name__)
 LEAST = 0.98
-#: Nodes per shard aimed at; vectors drawn (by hash order) to place centroids; Lloyd steps on them; centroids more alike
-#: than this are one, so that a dense group stays together.
-SHARD_ROWS, SAMPLE, LLOYD, ALIKE = 500, 20_000, 4, 0.85
+#: Nodes for each centroid; a shard with four times as many is cut, by FAN centroids at most, and cut again.
+SHARD_ROWS, FAN = 500, 64
+#: Nodes drawn (by hash) for each centroid to place them; Lloyd steps on these; centroids more alike than this are one, so
+#: that a dense group stays together; a shard that keeps more than this part of the one it was cut from is not cut again.
+DRAWN, LLOYD, ALIKE, STUCK = 16, 4, 0.85, 0.75
+#: Nodes that share a copy of the centroids while they are dealt.
+DEALT_ROWS = 20_000
 OVERLAP, CANDIDATES, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 2, 24, 12, 1.2, 16, 8, 0.03
-#: Nodes of a shard that one task works for; a larger shard (a dense group) goes to several tasks, whole to each.
-PART_ROWS = 4096
+#: Nodes of a shard that is searched as a graph at most; larger ones (dense groups) are compared in blocks of so many.
+PART_ROWS = 8192
 #: Tasks for all shards; more shards than that share tasks.
 MOST_TASKS = 20_000
 #: Queries of the recall audit at least, and what it must reach.
@@ -43,6 +54,9 @@ AUDIT, LEAST_RECALL, TRIES = 100, 0.97, 3
 AUDIT_ROOT, FEW, NEEDED, MOST_AUDIT = 4, 10, 50, 1 << 15
 #: Cells of a queries-by-nodes table in memory.
 CELLS = 1 << 22
+SHARD = ["label", "dim", "shard"]
+DEALT = "label string, dim int, shard long, id long, n long, embedding array<double>, above long"
+FOUND = "id long, linked long, root long"
 
 
 def _unit(rows) -> np.ndarray:
@@ -70,8 +84,8 @@ def _chunks(own: np.ndarray, n: int):
         yield own[at : at + step]
 
 
-def build(x: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Neighbours of the nodes ``own`` of a shard, by position: pruned nearest ones and those next in order."""
+def build(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Neighbours of the nodes of a shard, by position: pruned nearest ones and those next in order."""
     n, width = len(x), min(len(x), CANDIDATES)
     x = x.astype(np.float32)
     to_start = np.concatenate([x[at : at + 4096] @ x[starts].T for at in range(0, n, 4096)])
@@ -79,13 +93,13 @@ def build(x: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     lists = []
-    for part in _chunks(own, n):
+    for part in _chunks(np.arange(n), n):
         near = x[part] @ x.T
         top = np.argpartition(-near, width - 1, axis=1)[:, :width]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
         beside = [order[np.clip(place[part] + step, 0, n - 1)][:, None] for step in (-1, 1)]
         lists.append(np.concatenate([robust_prune(x, part, top), *beside], axis=1))
-    return np.concatenate(lists) if lists else np.empty((0, 1), np.int64)
+    return np.concatenate(lists)
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -154,25 +168,19 @@ def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, own: np.ndarray
     return np.nonzero(score >= least - 1e-4)
 
 
-def _own(frame: pd.DataFrame) -> np.ndarray:
-    """Positions of the nodes that this task works for."""
-    parts, part = int(frame["parts"].iloc[0]), int(frame["part"].iloc[0])
-    return np.flatnonzero((frame["id"].to_numpy() * 2654435761 >> 16) % parts == part)
-
-
 def _lists_of_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, x, own = frame["id"].to_numpy(), _unit(frame["embedding"]), _own(frame)
-    graph = build(x, own, medoids(x))
-    return pd.DataFrame({"id": ids[own], "neighbours": [ids[g[g >= 0]] for g in graph]})
+    ids, x = frame["id"].to_numpy(), _unit(frame["embedding"])
+    graph = build(x, medoids(x))
+    return pd.DataFrame({"label": key[0], "dim": key[1], "shard": key[2], "id": ids, "neighbours": [ids[g[g >= 0]] for g in graph]})
 
 
 def _search_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Per node worked for: rows linked to it as counted in this shard, and spanning links found here."""
+    """Per node: rows linked to it as counted in this shard, and spanning links found here."""
     shard = frame["shard"].iloc[0]
     frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, exact, own = frame["id"].to_numpy(), _unit(frame["embedding"]), _own(frame)
-    x = exact.astype(np.float32)
+    ids, exact = frame["id"].to_numpy(), _unit(frame["embedding"])
+    x, own = exact.astype(np.float32), np.arange(len(frame))
     lists = frame["neighbours"].tolist()
     graph = np.full((len(ids), max(1, max(map(len, lists)))), -1)
     for k, near in enumerate(lists):
@@ -180,38 +188,46 @@ def _search_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
         at[at == len(ids)] = 0
         graph[k, : len(near)] = np.where(ids[at] == near, at, -1)
     starts = medoids(x)
-    shards, count = np.array(frame["shards"].tolist()), frame["n"].to_numpy()
+    shards, count = _padded(frame["shards"]), frame["n"].to_numpy()
     linked = np.zeros(len(ids), np.int64)
     a = b = np.empty(0, np.int64)
-    whole = int(frame["parts"].iloc[0]) == 1
-    if whole:
-        hit = np.zeros((len(ids), len(ids)), bool)
-        for part in _chunks(own, len(ids)):
-            i, j = search(x, graph, starts, part)
-            hit[part[i], j] = True
-        hit |= hit.T
-        again = [np.flatnonzero((shards == s).any(1)) for s in np.unique(shards[shards > shard])]
+    hit = np.zeros((len(ids), len(ids)), bool)
     for part in _chunks(own, len(ids)):
-        if whole:
-            found = hit[part]
-            for m in again:
-                at = np.flatnonzero(np.isin(part, m))
-                i, j = np.nonzero(x[part[at]] @ x[m].T >= LEAST - 1e-4)
-                found[at[i], m[j]] = True
-            i, j = np.nonzero(found)
-        else:
-            # A dense group, dealt to several tasks: a pair may be found in the other node's task only, so all compare.
-            i, j = np.nonzero(x[part] @ x.T >= LEAST - 1e-4)
+        i, j = search(x, graph, starts, part)
+        hit[part[i], j] = True
+    hit |= hit.T
+    again = [np.flatnonzero((shards == s).any(1)) for s in np.unique(shards[shards > shard])]
+    for part in _chunks(own, len(ids)):
+        found = hit[part]
+        for m in again:
+            at = np.flatnonzero(np.isin(part, m))
+            i, j = np.nonzero(x[part[at]] @ x[m].T >= LEAST - 1e-4)
+            found[at[i], m[j]] = True
+        i, j = np.nonzero(found)
         i = part[i]
         for at in range(0, len(i), 50_000):
             p, q = i[at : at + 50_000], j[at : at + 50_000]
             sure = (p != q) & (np.einsum("pd,pd->p", exact[p], exact[q]) >= LEAST)
             p, q = p[sure], q[sure]
-            common = np.where(shards[p][:, :, None] == shards[q][:, None, :], shards[p][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-            here = common == shard
+            here = _first_common(shards[p], shards[q]) == shard
             np.add.at(linked, p[here], count[q[here]])
             a, b = forest(np.concatenate([a, p]), np.concatenate([b, q]))
-    return pd.DataFrame({"id": np.concatenate([ids[own], ids[a]]), "linked": np.concatenate([linked[own], np.zeros(len(a), np.int64)]), "root": np.concatenate([ids[own], ids[b]])})
+    return pd.DataFrame({"id": np.concatenate([ids, ids[a]]), "linked": np.concatenate([linked, np.zeros(len(a), np.int64)]), "root": np.concatenate([ids, ids[b]])})
+
+
+def _padded(shards) -> np.ndarray:
+    """The nodes' shards as a table, short rows filled up with -1."""
+    shards = [list(x) for x in shards]
+    out = np.full((len(shards), max(map(len, shards))), -1, np.int64)
+    for k, own in enumerate(shards):
+        out[k, : len(own)] = own
+    return out
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row the least shard that both have."""
+    far = np.iinfo(np.int64).max
+    return np.where((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0), a[:, :, None], far).min((1, 2))
 
 
 def _centroids(x: np.ndarray, k: int) -> np.ndarray:
@@ -229,6 +245,12 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
     return centres[kept]
 
 
+def _centroids_of_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
+    x = _unit(frame.sort_values("id", kind="stable")["embedding"])
+    centres = _centroids(x, int(frame["k"].iloc[0]))
+    return pd.DataFrame({"label": key[0], "dim": key[1], "shard": key[2], "embedding": list(centres)})
+
+
 def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Distinct comparable vectors: ``label, dim, embedding, id`` (smallest of the copies) ``, n`` (rows)."""
     e = F.col(vector_col).cast("array<double>")
@@ -237,82 +259,114 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return rows.groupBy("label", F.size("embedding").alias("dim"), "embedding").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-def _dealt(nodes: DataFrame, overlap: int) -> DataFrame:
-    """Each node in its shards: the columns of nodes, ``shards`` (sorted) and ``shard``."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("label", "dim", "embedding").toPandas()
-    # Only labels of the sample can have centroids, so no more of them than the sample has rows reach the driver.
-    keys = nodes.sparkSession.createDataFrame(list(sample[["label", "dim"]].drop_duplicates().itertuples(index=False, name=None)), "label string, dim int")
-    counts = nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD_ROWS).join(F.broadcast(keys), ["label", "dim"], "left_semi")
-    large = {(r["label"], r["dim"]): r["count"] for r in counts.collect()}
-    centres = {}
-    for key, own in sample.groupby(["label", "dim"], sort=True):
-        if key in large:
-            x = _unit(own["embedding"])
-            centres[key] = _centroids(x, min(len(x), -(-large[key] // SHARD_ROWS))).astype(np.float32)
+def _cut(dealt: DataFrame, large: DataFrame, overlap: int) -> DataFrame:
+    """The rows of the shards ``large(label, dim, shard, size)``, each in the ``overlap`` shards within its own whose
+    centroids are nearest. Centroids are placed on few nodes of a shard, drawn by hash, and travel ahead of its nodes,
+    which are dealt to a task for every DEALT_ROWS of them."""
+    k = F.least(F.lit(FAN), F.ceil(F.col("size") / SHARD_ROWS)).cast("int")
+    wide = dealt.join(large.withColumn("k", k).withColumn("salts", F.ceil(F.col("size") / DEALT_ROWS).cast("int")), SHARD)
+    chance = F.pmod(F.xxhash64("id", "shard"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = wide.where(chance < DRAWN * F.col("k") / F.col("size")).select(*SHARD, "id", "embedding", "k")
+    centres = drawn.groupBy(*SHARD).applyInPandas(_centroids_of_shard, "label string, dim int, shard long, embedding array<double>")
+    salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / DEALT_ROWS).cast("int") - 1))
+    none = F.lit(None).cast("long")
+    ahead = centres.join(large.withColumn("salt", salts).drop("size"), SHARD).select(*SHARD, "salt", F.lit(0).alias("kind"), none.alias("id"), none.alias("n"), "embedding", none.alias("size"))
+    rows = wide.select(*SHARD, F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "n", "embedding", "size")
+    laid = ahead.unionByName(rows).repartition(*SHARD, "salt").sortWithinPartitions(*SHARD, "salt", "kind", "id")
 
     def work(frames):
+        known, held = None, []
         for frame in frames:
-            out = pd.Series([[0]] * len(frame), index=frame.index, dtype=object)
-            for key, own in frame.groupby(["label", "dim"], sort=False):
-                if key in centres:
-                    near = _unit(own["embedding"]).astype(np.float32) @ centres[key].T
-                    k = min(overlap, near.shape[1])
-                    top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1) if k < near.shape[1] else np.tile(np.arange(k), (len(own), 1))
-                    out[own.index] = pd.Series(top.tolist(), index=own.index, dtype=object)
-            yield frame.assign(shards=out)
-
-    schema = "label string, dim int, embedding array<double>, id long, n long, shards array<long>"
-    return nodes.mapInPandas(work, schema).withColumn("shard", F.explode("shards"))
+            for key, own in frame.groupby([*SHARD, "salt"], sort=False):
+                if key != known:
+                    known, held = key, []
+                held += list(own.loc[own["kind"] == 0, "embedding"])
+                own = own[own["kind"] == 1]
+                if not len(own):
+                    continue
+                near = _unit(own["embedding"]) @ np.array(held).T if held else np.zeros((len(own), 1))
+                k = min(overlap, near.shape[1])
+                top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(own), 1))
+                out = own.loc[own.index.repeat(k), ["label", "dim", "shard", "id", "n", "embedding"]]
+                yield out.assign(shard=key[2] * (FAN + 1) + 1 + top.ravel(), above=own["size"].to_numpy(np.int64).repeat(k))
+
+    return laid.mapInPandas(work, DEALT)
+
+
+def _dealt(nodes: DataFrame, overlap: int) -> tuple[Scratch, DataFrame]:
+    """Each node in its shards, and the shards' sizes ``(label, dim, shard, size)``."""
+    now = Scratch(nodes.select("label", "dim", F.lit(0).cast("long").alias("shard"), "id", "n", "embedding", F.lit(1 << 62).alias("above")), "dealt")
+    while True:
+        sizes = Scratch(now.df.groupBy(*SHARD).agg(F.count("*").alias("size"), F.max("above").alias("above")), "sizes").df
+        large = sizes.where((F.col("size") > 4 * SHARD_ROWS) & (F.col("size") <= STUCK * F.col("above"))).select(*SHARD, "size")
+        if large.isEmpty():
+            return now, sizes.drop("above")
+        after = Scratch(now.df.join(large, SHARD, "left_anti").select(*now.df.columns).unionByName(_cut(now.df.drop("above"), large, overlap)), "dealt")
+        now.drop()
+        now = after
 
 
 def _links(nodes: DataFrame, overlap: int) -> DataFrame:
     """``(id, linked, root)``: rows linked to each node, summed over its rows here, and spanning links (id, root)."""
-    dealt = Scratch(_dealt(nodes, overlap), "dealt")
-    shard = ["label", "dim", "shard"]
-    sizes = Scratch(dealt.df.groupBy(*shard).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "sizes").df
-    tasks = max(1, min(sizes.agg(F.sum("parts")).first()[0] or 1, MOST_TASKS))
-
-    def spread(df):
-        wide = df.join(sizes, shard).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return wide.repartition(tasks, *shard, "part").groupBy(*shard, "part")
-
-    parts = spread(dealt.df.select(*shard, "id", "embedding")).applyInPandas(_lists_of_shard, "id long, neighbours array<long>")
-    union = parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    found = spread(dealt.df.join(union, "id")).applyInPandas(_search_shard, "id long, linked long, root long")
+    dealt, sizes = _dealt(nodes, overlap)
+    small, dense = sizes.where(F.col("size") <= PART_ROWS).select(*SHARD), sizes.where(F.col("size") > PART_ROWS)
+    tasks = max(1, min(small.count(), MOST_TASKS))
+    by_shard = lambda df: df.join(small, SHARD).repartition(tasks, *SHARD).groupBy(*SHARD)
+
+    lists = by_shard(dealt.df.select(*SHARD, "id", "embedding")).applyInPandas(_lists_of_shard, "label string, dim int, shard long, id long, neighbours array<long>")
+    if grouped := not dense.isEmpty():
+        lists = lists.unionByName(dealt.df.join(dense, SHARD).select(*SHARD, "id", F.array().cast("array<long>").alias("neighbours")))
+    union = lists.groupBy("label", "dim", "id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"), F.collect_set("shard").alias("shards"))
+    placed = dealt.df.join(union, ["label", "dim", "id"])
+    found = by_shard(placed).applyInPandas(_search_shard, FOUND)
+    if grouped:
+        found = found.unionByName(_block_pairs(placed, dense))
     out = Scratch(found, "found").df
     dealt.drop()
     return out
 
 
 def _pairs_of_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the nodes of two blocks (or within one), all pairs compared: the columns of ``_links``."""
+    """Links between the nodes of two blocks of a shard (or within one), all pairs compared: the columns of ``_links``."""
     ids, x, count, block = frame["id"].to_numpy(), _unit(frame["embedding"]), frame["n"].to_numpy(), frame["block"].to_numpy()
+    shard, shards = frame["shard"].iloc[0], _padded(frame["shards"])
     left, right = np.flatnonzero(block == frame["i"].iloc[0]), np.flatnonzero(block == frame["j"].iloc[0])
     within = frame["i"].iloc[0] == frame["j"].iloc[0]
     linked = np.zeros(len(ids), np.int64)
     a = b = np.empty(0, np.int64)
+    # Only pairs that may share an earlier shard need a look at where they count.
+    early = [np.flatnonzero((shards == s).any(1)) for s in np.unique(shards[(shards >= 0) & (shards < shard)])]
     for part in _chunks(left, len(right)):
-        hit = (x[part] @ x[right].T >= LEAST) & (ids[part][:, None] != ids[right][None, :])
+        hit = (x[part] @ x[right].T >= LEAST) & (part[:, None] != right[None, :])
+        i, j = np.nonzero(hit)
+        a, b = forest(np.concatenate([a, part[i]]), np.concatenate([b, right[j]]))
+        for m in early:
+            hit[np.ix_(np.isin(part, m), np.isin(right, m))] = False
         linked[part] += hit @ count[right]
         if not within:
             linked[right] += count[part] @ hit
-        i, j = np.nonzero(hit)
-        a, b = forest(np.concatenate([a, part[i]]), np.concatenate([b, right[j]]))
     return pd.DataFrame({"id": np.concatenate([ids, ids[a]]), "linked": np.concatenate([linked, np.zeros(len(a), np.int64)]), "root": np.concatenate([ids, ids[b]])})
 
 
+def _block_pairs(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As ``_links``, exact, for the shards of ``sizes``: their nodes are dealt to blocks by hash, a task compares two."""
+    blocks = sizes.select(*SHARD, F.ceil(F.col("size") / PART_ROWS).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, SHARD).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select(*SHARD, "id", "embedding", "n", "shards", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs.groupBy(*SHARD, "i", "j").applyInPandas(_pairs_of_blocks, FOUND)
+
+
 def _all_links(nodes: DataFrame) -> DataFrame:
-    """As ``_links``, exact: the nodes of a label are dealt to blocks by hash, and a task compares two blocks."""
-    key = ["label", "dim"]
-    sizes = nodes.groupBy(*key).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("blocks"))
-    dealt = nodes.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select(*key, "id", "embedding", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return Scratch(pairs.groupBy(*key, "i", "j").applyInPandas(_pairs_of_blocks, "id long, linked long, root long"), "found").df
+    """As ``_links``, exact: every label is one shard."""
+    whole = F.lit(0).cast("long")
+    placed = nodes.withColumn("shard", whole).withColumn("shards", F.array(whole))
+    return Scratch(_block_pairs(placed, placed.groupBy(*SHARD).agg(F.count("*").alias("size"))), "found").df
 
 
 def _asked(nodes: DataFrame, found: DataFrame, queries: int) -> tuple[float, int]:
-    """Recall of ``queries`` nodes (by hash order), and how many of them have one to FEW linked nodes."""
-    asked = nodes.orderBy(F.xxhash64(F.col("id") + 1), "id").limit(queries).toPandas()
+    """Recall of ``queries`` nodes (ids divisible by 50 first, then by hash), and how many of them have one to FEW linked
+    nodes."""
+    asked = nodes.orderBy(F.col("id") % 50 != 0, F.xxhash64(F.col("id") + 1), "id").limit(queries).toPandas()
     keys = {k: (own["id"].to_numpy(), _unit(own["embedding"])) for k, own in asked.groupby(["label", "dim"])}
 
     def work(frames):
@@ -335,10 +389,11 @@ def _asked(nodes: DataFrame, found: DataFrame, queries: int) -> tuple[float, int
 def audit(nodes: DataFrame, found: DataFrame, queries: int = AUDIT) -> float | None:
     """The mean share of its true links that ``found(id, linked)`` counts for a node that has any, the less of nodes with
     up to FEW and of others; None where MOST_AUDIT queries were too few to tell."""
-    total = nodes.count()
-    queries = max(queries, int(AUDIT_ROOT * total**0.5))
+    total, fiftieth = nodes.agg(F.count("*"), F.count_if(F.col("id") % 50 == 0)).first()
+    queries = max(queries, int(AUDIT_ROOT * total**0.5), min(fiftieth, MOST_AUDIT))
     while True:
         recall, few = _asked(nodes, found, queries)
+        LOG.info("recall %.4f over %d queries of %d nodes, %d of them with few links", recall, queries, total, few)
         if few >= NEEDED or queries >= total or recall < LEAST_RECALL:
             return recall
         if queries >= MOST_AUDIT:
@@ -352,7 +407,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors compare when labels are equal and not null and lengths agree. A null vector, a zero one and one that holds
     a null or non-finite component links with nothing and is kept. Rows that repeat a vector link with each other. A
-    row without an id gives component null and kept false. An empty table gives an empty result.
+    row without an id gives component null and kept false. Only the three columns are read, so others cannot clash. An
+    empty table gives an empty result.
     """
     nodes = Scratch(nodes_of(vectors, id_col, vector_col, label_col), "nodes").df
     overlap = OVERLAP
@@ -363,6 +419,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             break
         overlap *= 2
     if recall is None or recall < LEAST_RECALL:
+        LOG.warning("recall %s at overlap %d: all pairs of each label are compared", "cannot be told" if recall is None else f"{recall:.4f}", overlap)
         found = _all_links(nodes)
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     parts = connected_components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
