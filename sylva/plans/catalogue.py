@@ -431,7 +431,7 @@ SELECT package, count(*) AS n FROM asked JOIN spots ON starts_with(p, package ||
 def package_members(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
     asked = nation.select(F.format_string("r%d", "n_regionkey").alias("package")).unionByName(nation.select(F.format_string("r%d.n%d", "n_regionkey", "n_nationkey").alias("package"))).distinct()
-    return Resolver(_packages(spark, sf_dir)).package_members(asked).groupBy("package").agg(F.count("*").alias("n"))
+    return Resolver(save(_packages(spark, sf_dir), "packages")).package_members(asked).groupBy("package").agg(F.count("*").alias("n"))
 
 
 @query("""WITH owned AS (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 9000)
@@ -479,7 +479,7 @@ def resolve_tiers(spark, sf_dir):
         F.concat(module("c_nationkey"), F.lit("#C"), "c_custkey", F.lit("(...)")).alias("uid"), F.concat(F.lit("C"), "c_custkey").alias("name"), F.lit("method").alias("type"), module("c_nationkey").alias("path"), module("c_nationkey").alias("parent_uid"), F.lit(0).alias("arity"), "dependency_names"
     )
     rows = files.unionByName(classes, allowMissingColumns=True).unionByName(methods, allowMissingColumns=True).unionByName(callers, allowMissingColumns=True)
-    exact, fuzzy = Resolver(_code_rows(rows)).resolve()
+    exact, fuzzy = Resolver(save(_code_rows(rows), "code")).resolve()
     # A call may be fuzzy where another one of the same function is sure; both edges then stand.
     return exact.withColumn("edge_type", F.lit("depends_on")).unionByName(fuzzy.withColumn("edge_type", F.lit("depends_on_fuzzy")))
 
