@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
 
@@ -32,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     lines = (("--max-lines",), {"type": int, "default": 500})
     language = (("--language",), {"choices": ["auto", "python", "java", "html"]})
     add("init", "write a configuration and an ignore file", (("--force",), {"action": "store_true"}))
-    add("parse", "build the graph", (("--no-cache",), {"action": "store_true"}), language)
+    add("parse", "build the graph", (("--no-cache",), {"action": "store_true"}), (("--no-llm",), {"action": "store_true"}), (("--llm",), {}), language)
     add("status", "count what the store holds")
     add("skeleton", "show the tree", (("--subpath",), {"default": "."}), (("--depth",), {"type": int, "default": 4}), (("--files-only",), {"action": "store_true"}), lines)
     add("search", "find structs by meaning", (("--query",), {"required": True}), (("--filter",), {}), (("--top-k",), {"type": int, "default": 5}))
@@ -40,17 +41,21 @@ def parser() -> argparse.ArgumentParser:
     add("export", "write the lockfile", (("--with-vectors",), {"action": "store_true"}))
     add("watch", "keep the store current", language)
     add("clean", "delete the store")
+    top.add_argument("--verbose", action="store_true", help="say on standard error what goes on")
     return top
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
+    if a.verbose:
+        logging.basicConfig(stream=sys.stderr, format="%(asctime)s %(name)s %(message)s")
+        logging.getLogger("sylva").setLevel(logging.INFO)
     project = Project(spark or session(), a.path, language=getattr(a, "language", None))
     try:
         if a.command == "init":
             print("\n".join(project.init(a.force)) or "nothing to write")
         elif a.command == "parse":
-            counts = project.parse(use_cache=not a.no_cache)
+            counts = project.parse(use_cache=not a.no_cache, no_llm=a.no_llm, llm=a.llm)
             print(f"{counts['structs']} structs, {counts['carried']} carried over, {counts['seconds']:.1f} s")
         elif a.command == "status":
             for r in project.status().orderBy("kind", "name").collect():
@@ -67,7 +72,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             project.watch().awaitTermination()
         else:
             print("deleted" if project.clean() else "nothing there")
-    except (StoreError, FileNotFoundError) as e:
+    except (StoreError, FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

@@ -48,12 +48,6 @@ def language(path: Column | str) -> Column:
     return F.when(ext == ".py", "python").when(ext == ".java", "java").when(ext.isin(".html", ".htm"), "html")
 
 
-def parent_path(path: Column | str) -> Column:
-    """The directory above; "." at the top, null for "." itself."""
-    path = F.col(path) if isinstance(path, str) else path
-    return F.when(path == ".", F.lit(None)).when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
-
-
 def in_subtree(column: Column | str, path: str) -> Column:
     """Whether a path is ``path`` or below it; "." holds everything. Both parts reach the Parquet scan."""
     column = F.col(column) if isinstance(column, str) else column

@@ -18,21 +18,20 @@ def containment(structs: DataFrame) -> DataFrame:
 
 
 def roll_up(leaf: DataFrame, parents: DataFrame) -> DataFrame:
-    """Distinct ``(source, target)`` of ``leaf`` and of everything above it.
+    """Distinct ``(source, target)`` of ``leaf`` and of everything above it; ``parents`` is ``(id, parent_id)``.
 
-    Both ends climb in lock-step, as long as both have parents and these differ; ``parents`` is ``(id, parent_id)``.
-    Semi-naive: each round climbs only pairs that are new, so a round costs two equi joins on the frontier.
+    Both ends climb in lock-step, as long as both have parents and these differ. A round is two equi joins on the pairs
+    of the round before, which are distinct; pairs that rounds have in common are made one at the end, all at once.
     """
     up = parents.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("id"))).select("id", "parent_id")
     new = Scratch(leaf.select("source", "target").where("source <> target").distinct(), "edges").df
-    known = new
+    known, rounds = new, 1
     for _ in range(MAX_DEPTH):
         step = new.join(up.select(F.col("id").alias("source"), F.col("parent_id").alias("s")), "source").join(up.select(F.col("id").alias("target"), F.col("parent_id").alias("t")), "target")
-        step = step.where("s <> t").select(F.col("s").alias("source"), F.col("t").alias("target")).distinct()
-        new = Scratch(step.join(known, ["source", "target"], "left_anti"), "edges").df
+        new = Scratch(step.where("s <> t").select(F.col("s").alias("source"), F.col("t").alias("target")).distinct(), "edges").df
         if new.isEmpty():
-            return known
-        known = known.unionByName(new)
+            return known.distinct() if rounds > 1 else known
+        known, rounds = known.unionByName(new), rounds + 1
     raise ValueError(f"containment is deeper than {MAX_DEPTH} levels")
 
 
@@ -43,8 +42,8 @@ def dependency_edges(exact: DataFrame, fuzzy: DataFrame, parents: DataFrame) ->
 
 
 def all_edges(structs: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Every edge once."""
-    return dependencies.unionByName(containment(structs)).dropDuplicates(["source_id", "target_id", "edge_type"])
+    """Every edge once; structs have one row each, so only dependencies can repeat."""
+    return dependencies.dropDuplicates(["source_id", "target_id", "edge_type"]).unionByName(containment(structs))
 
 
 def with_endpoints(edges: DataFrame, structs: DataFrame) -> DataFrame:
@@ -61,14 +60,19 @@ def orphans(structs: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFra
     return dangling.agg(F.count("*").alias("n")).select(F.lit("dangling_edges").alias("kind"), "n").unionByName(lost.agg(F.count("*").alias("n")).select(F.lit("orphan_vectors").alias("kind"), "n"))
 
 
-def dependency_strings(edges: DataFrame, structs: DataFrame) -> DataFrame:
-    """Per id the sorted ``id|uid`` lists of inbound and outbound dependencies, fuzzy ones marked ``~``."""
+def dependency_strings(edges: DataFrame, structs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Per id the sorted ``id|uid`` lists of inbound and outbound dependencies, fuzzy ones marked ``~``; only for the
+    structs ``of(id)``, if given."""
     uids = structs.select("id", "uid")
     kinds = edges.where(F.col("edge_type").isin(DEPENDS, FUZZY))
+    outward = inward = kinds
+    if of is not None:
+        asked = of.select(F.col("id").alias("_of")).distinct()
+        outward, inward = (kinds.join(asked, F.col(end) == F.col("_of"), "left_semi") for end in ("source_id", "target_id"))
     mark = F.when(F.col("edge_type") == FUZZY, "~").otherwise("")
     said = F.concat(mark, F.col("id"), F.lit("|"), F.col("uid"))
-    out = kinds.join(uids, F.col("target_id") == F.col("id")).groupBy(F.col("source_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("outbound"))
-    into = kinds.join(uids, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("inbound"))
+    out = outward.join(uids, F.col("target_id") == F.col("id")).groupBy(F.col("source_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("outbound"))
+    into = inward.join(uids, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("inbound"))
     return out.join(into, "of", "full").select(F.col("of").alias("id"), F.coalesce("inbound", F.array().cast("array<string>")).alias("inbound"), F.coalesce("outbound", F.array().cast("array<string>")).alias("outbound"))
 
 

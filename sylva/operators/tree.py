@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import in_subtree
+from ..functions.scalar import in_subtree, is_id
 from ..schema import CLASS, DIRECTORY, FIELD, FILE, METHOD
 from ..scratch import Scratch
+from . import graph
 
 # The order in which kinds of children are shown.
 SHOW_ORDER = {"file": 0, "directory": 1, "class": 2, "method": 3}
@@ -36,6 +37,8 @@ def skeleton(structs: DataFrame, root_id: str | None = None, depth: int = 4, fil
         above = level.where(F.col("type") != METHOD).select(F.col("id").alias("above"), F.col("type").alias("above_type"), F.col("sort_path").alias("above_path"))
         level = slim.join(above, (F.col("parent_id") == F.col("above")) & (F.col("id") != F.col("above"))).where((F.col("type") != METHOD) | (F.col("above_type") == FILE))
         level = level.select("id", "uid", "type", "parent_id", F.lit(k).alias("depth"), F.concat("above_path", F.array("key")).alias("sort_path"))
+        # Written, so that no level works out those above it again; the last one has none below.
+        level = Scratch(level, "level").df if k < depth else level
         out = out.unionByName(level)
     return out
 
@@ -54,17 +57,17 @@ def resolve_references(references: list[str], structs: DataFrame) -> DataFrame:
     """``(pos, ref, id)`` of ids and uids in the order given; id is null for what is not there."""
     spark = structs.sparkSession
     asked = spark.createDataFrame(list(enumerate(references)), "pos int, ref string")
-    by_id = asked.where(F.col("ref").rlike("^[SCMVFD]-")).join(structs.select("id"), F.col("ref") == F.col("id"), "left")
-    by_uid = asked.where(~F.col("ref").rlike("^[SCMVFD]-")).join(structs.select("id", "uid"), F.col("ref") == F.col("uid"), "left").drop("uid")
+    by_id = asked.where(is_id("ref")).join(structs.select("id"), F.col("ref") == F.col("id"), "left")
+    by_uid = asked.where(~is_id("ref")).join(structs.select("id", "uid"), F.col("ref") == F.col("uid"), "left").drop("uid")
     return by_id.unionByName(by_uid)
 
 
-def inspect(structs: DataFrame, strings: DataFrame, references: list[str], include_body: bool = False) -> DataFrame:
+def inspect(structs: DataFrame, edges: DataFrame, references: list[str], include_body: bool = False) -> DataFrame:
     """The asked structs and two levels below, flat: ``pos, ref, depth, id, uid, type, path, signature, description,
     body, start_line, end_line, inbound, outbound, parent_id, error``.
 
     Children of children show for files, directories and classes alone; bodies only for the asked structs and on
-    request. What is not found gives one row with ``error``.
+    request. What is not found gives one row with ``error``. Dependencies are gathered of the structs shown only.
     """
     found = resolve_references(references, structs)
     full = structs.select("id", "uid", "type", "path", "signature", "description", "body", "start_line", "end_line", "parent_id")
@@ -75,8 +78,8 @@ def inspect(structs: DataFrame, strings: DataFrame, references: list[str], inclu
         opened = above.where(~F.col("type").isin(FIELD, METHOD)).select("pos", "ref", F.col("id").alias("above"))
         above = slim.join(opened, F.col("parent_id") == F.col("above")).drop("above").withColumn("depth", F.lit(depth)).withColumn("error", F.lit(None).cast("string"))
         levels.append(above.select(*levels[0].columns))
-    out = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    return out.join(strings, "id", "left")
+    out = Scratch(levels[0].unionByName(levels[1]).unionByName(levels[2]), "inspected").df
+    return out.join(graph.dependency_strings(edges, structs, out.where("id is not null")), "id", "left")
 
 
 def single_child(structs: DataFrame) -> DataFrame:

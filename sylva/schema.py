@@ -34,7 +34,7 @@ PARSED = T.StructType(
 )
 STRUCTS = T.StructType(
     _fields(
-        "id:s uid:s name:s type:s path:s parent_id:s description:s signature:s body:s diff_hash:s start_line:i end_line:i "
+        "id:s uid:s name:s type:s path:s parent_id:s parent_uid:s description:s signature:s body:s diff_hash:s start_line:i end_line:i "
         "imports:a inherits:a enum_constants:a field_type:s arity:i package:s dependency_names:c"
     )
 )
@@ -42,5 +42,5 @@ EDGES = T.StructType(_fields("source_id:s target_id:s edge_type:s"))
 VECTORS = T.StructType([T.StructField("struct_id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
 LOCK = T.StructType([*_fields("uid:s diff_hash:s description:s"), T.StructField("vector", T.ArrayType(T.FloatType()))])
 CHANGES = T.StructType([*_fields("path:s change:s"), T.StructField("seq", T.LongType())])
-#: Version of the store and of the lockfile; another one is not read.
-FORMAT_VERSION = 2
+#: Versions of the lockfile and of the store; another one is not read.
+FORMAT_VERSION, STORE_VERSION = 2, 3

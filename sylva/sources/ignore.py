@@ -14,8 +14,23 @@ HARD = (
     ".DS_Store", "*.exe", "*.bin", "*.dll", "*.so", "*.dylib", "*.pyc", "*.pyo", "*.pyd", "__pycache__/", ".git/", ".svn/", ".hg/",
     ".sylva/", ".sylvaignore", "*.json", "*.md", "*.kts", "*.properties", "*.xml", "*.gradle",
 )
-# Rules for projects that bring none of their own.
-DEFAULTS = (".venv/", "venv/", "env/", "node_modules/", "build/", "dist/", "target/", "out/", ".idea/", ".vscode/", "*.class", "*.jar", "*.egg-info/", ".pytest_cache/", ".mypy_cache/", ".tox/", "*.log")
+# Rules for projects that bring none of their own, by language; those that can hit a source file or a
+# directory.
+DEFAULTS = {
+    "python": (
+        "__pycache__/", ".Python", "build/", "develop-eggs/", "dist/", "downloads/", "eggs/", ".eggs/", "lib/", "lib64/", "parts/", "sdist/", "var/", "wheels/", "share/python-wheels/", "*.egg-info/", "*.egg", "MANIFEST",
+        "htmlcov/", ".tox/", ".nox/", ".coverage", ".cache", ".hypothesis/", ".pytest_cache/", "cover/", "local_settings.py", "instance/", ".webassets-cache", ".scrapy", "docs/_build/", ".pybuilder/", "target/",
+        ".ipynb_checkpoints", "profile_default/", "ipython_config.py", "__pypackages__/", "*.sage.py", ".env", ".venv", "env/", "venv/", "ENV/", "env.bak/", "venv.bak/", ".spyderproject", ".spyproject", ".ropeproject", "/site",
+        ".mypy_cache/", ".pyre/", ".pytype/", "cython_debug/", "*test*",
+    ),
+    "java": (".github/", "*.log", ".mtj.tmp/", "hs_err_pid*", "replay_pid*", "target/", ".gradle/", "build/", "!src/**/build/", ".idea/", "out/", ".settings/", ".classpath", ".project", ".factorypath", ".vscode/", "*test*"),
+    "html": (),
+}
+
+
+def default_rules(language: str | None = None) -> list[str]:
+    """The default rules of a language; of all of them for none or "auto"."""
+    return [line for name in ([language] if language in DEFAULTS else DEFAULTS) for line in DEFAULTS[name]]
 
 
 def compile_rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -59,23 +74,25 @@ def compile_rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
 
 @dataclass
 class IgnoreRules:
-    """Hard rules, then a project's own or the default ones. Paths outside the root are ignored, the root never is."""
+    """Hard rules, then a project's own or its language's default ones. Paths outside the root are ignored, the root never
+    is."""
 
     lines: tuple[str, ...] | None = None
     hard: tuple[str, ...] = HARD
+    language: str | None = None
     rules: list = field(init=False, repr=False)
 
     def __post_init__(self):
-        lines = DEFAULTS if self.lines is None else self.lines
+        lines = default_rules(self.language) if self.lines is None else self.lines
         self.rules = [r for line in (*self.hard, *lines) if (r := compile_rule(line))]
 
     @classmethod
-    def load(cls, root: str, name: str = ".sylvaignore") -> IgnoreRules:
+    def load(cls, root: str, language: str | None = None, name: str = ".sylvaignore") -> IgnoreRules:
         path = os.path.join(root, name)
         if os.path.exists(path):
             with open(path, encoding="utf-8") as f:
                 return cls(tuple(f.read().splitlines()))
-        return cls()
+        return cls(language=language)
 
     def matches(self, path: str, is_dir: bool = False) -> bool:
         """Whether a path relative to the root is ignored, by itself or through a directory above it."""

@@ -26,6 +26,18 @@ def language_of(path: str) -> str | None:
     return LANGUAGES.get(os.path.splitext(path)[1].lower())
 
 
+def relative(root: str, path: str) -> str:
+    """A path as it is below the root: an absolute one with links followed, else as it is written, else by way of the
+    directories above."""
+    if not os.path.isabs(path):
+        return os.path.normpath(path).replace(os.sep, "/")
+    tries = (os.path.realpath(root), os.path.realpath(path)), (os.path.abspath(root), os.path.abspath(path))
+    for base, full in tries:
+        if full == base or full.startswith(base.rstrip(os.sep) + os.sep):
+            return os.path.relpath(full, base).replace(os.sep, "/")
+    return os.path.relpath(os.path.realpath(path), os.path.realpath(root)).replace(os.sep, "/")
+
+
 def walk(root: str, rules: IgnoreRules, language: str | None = None, below: str = "."):
     """Yields ``(relative path, is directory)`` from ``below`` on, in order; ignored directories are not entered."""
     top = os.path.join(root, below)
@@ -70,7 +82,7 @@ class _TreeReader(DataSourceReader):
         self.language, self.name = options.get("language"), options.get("name") or os.path.basename(os.path.abspath(options["path"]))
 
     def partitions(self):
-        found = list(walk(self.root, IgnoreRules.load(self.root), self.language, self.below))
+        found = list(walk(self.root, IgnoreRules.load(self.root, self.language), self.language, self.below))
         return [_Chunk(found[k : k + CHUNK]) for k in range(0, len(found), CHUNK)] or [_Chunk([])]
 
     def read(self, partition):

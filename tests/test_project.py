@@ -5,10 +5,12 @@ import shutil
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sylva.operators import graph
 from sylva.plans.project import Project, coerce_list
-from sylva.store import StoreError
+from sylva.schema import STORE_VERSION
+from sylva.store import StoreConflict, StoreError, bucket_of
 from sylva.streaming.watch import apply_changes, diff, snapshot
 
 FILES = {
@@ -67,7 +69,10 @@ def test_build_and_query(spark, root):
     with pytest.raises(FileNotFoundError):
         project.skeleton("nowhere")
     shown = project.render_inspect("store/shelf.py#Shelf, nothing")
-    assert "@L4-13" in shown and "not found: nothing" in shown and "#Shelf.put(...)" in shown
+    lines = shown.splitlines()
+    assert "@L4-13 | " in lines[0] and lines[-1] == "not found: nothing" and lines[lines.index("fields:") + 1].endswith("| owner: Keeper")
+    assert {x.partition(" | ")[2] for x in lines[lines.index("methods:") + 1 :] if x.startswith("    M-")} == {"def put(self, book)", "def check(self, book)"}
+    assert any(x.startswith("> ") and "store/base.py#Keeper" in x for x in lines)
     assert "def put" in project.render_inspect(["store/shelf.py#Shelf.put(...)"], include_body=True)
     hits = project.search("whisper text", type_filter="METHOD", top_k=2).collect()
     assert len(hits) == 2 and hits[0]["distance"] <= hits[1]["distance"] and {h["type"] for h in hits} == {"method"}
@@ -75,6 +80,7 @@ def test_build_and_query(spark, root):
 
     again = project.parse()
     assert again["carried"] == again["structs"] - 2  # directories have no hash
+    assert again["embedded"] == 2 and again["resolved"] == counts["resolved"]
     assert named_edges(project) == edges
     assert project.export_lockfile() is True and project.export_lockfile() is False
     assert project.clean() and not project.store.exists()
@@ -126,22 +132,139 @@ def test_describe_marks_and_lock(spark, root):
     assert {r["uid"]: r["description"] for r in other.store.read("structs").collect()}["tools.py#shout(...)"] == "about shout"
 
 
+def arrives(project, query, uid):
+    for _ in range(240):
+        if project.store.read("structs").where(f"uid = '{uid}'").count():
+            return
+        time.sleep(0.5)
+    raise AssertionError(query.exception() or f"{uid} never arrived")
+
+
 def test_watch(spark, root, tmp_path):
+    """What changes between the build and the watch arrives, as does what changes while the watch runs and what changed
+    while none ran."""
     project = Project(spark, str(root))
     project.parse()
+    (root / "early.py").write_text("def early():\n    return 1\n")
     query = project.watch(checkpoint=str(tmp_path / "ck"), seconds=0.2)
     try:
-        time.sleep(3)
+        arrives(project, query, "early.py#early(...)")
         (root / "late.py").write_text("def late():\n    return 1\n")
-        for _ in range(120):
-            if project.store.read("structs").where("uid = 'late.py#late(...)'").count():
-                break
-            time.sleep(0.5)
-        else:
-            raise AssertionError(query.exception() or "the change never arrived")
+        arrives(project, query, "late.py#late(...)")
     finally:
         query.stop()
+    (root / "between.py").write_text("def between():\n    return 1\n")
+    again = project.watch(seconds=0.2)  # a new checkpoint
+    try:
+        arrives(project, again, "between.py#between(...)")
+    finally:
+        again.stop()
+    assert project.store.require()["applied"]["seq"] >= 3
+    sound(project)
+
+
+def test_a_watch_of_an_earlier_build_goes_on(spark, root, tmp_path):
+    project = Project(spark, str(root))
+    project.parse()
+    (root / "one.py").write_text("def one():\n    return 1\n")
+    query = project.watch(checkpoint=str(tmp_path / "ck"), seconds=0.2)
+    arrives(project, query, "one.py#one(...)")
+    query.stop()
+    project.parse()
+    (root / "two.py").write_text("def two():\n    return 1\n")
+    again = project.watch(checkpoint=str(tmp_path / "ck"), seconds=0.2)  # its offsets are of the build before
+    try:
+        arrives(project, again, "two.py#two(...)")
+    finally:
+        again.stop()
+
+
+def test_a_change_writes_its_buckets_only(spark, root):
+    for k in range(30):
+        (root / f"plain{k}.py").write_text(f"def plain{k}():\n    return {k}\n")
+    project = Project(spark, str(root))
+    project.parse()
+    before = project.store.require()
+    base = root / "plain7.py"
+    done = apply_changes(project, changes(spark, root, lambda: base.write_text("def other():\n    return 7\n")))
+    after = project.store.require()
+    wanted = {str(r["k"]) for r in spark.createDataFrame([("plain7.py",), (".",)], "path string").select(bucket_of("path", before["buckets"]).alias("k")).collect()}
+    for name in ("structs", "edges", "vectors"):
+        moved = {k for k, v in after["tables"][name].items() if before["tables"][name].get(k) != v}
+        assert moved <= wanted and moved, name
+    assert done["removed"] == 1 and done["buckets"] == len(wanted) < before["buckets"]
+    structs = {r["uid"] for r in project.store.read("structs").collect()}
+    assert "plain7.py#other(...)" in structs and "plain7.py#plain7(...)" not in structs and "plain8.py#plain8(...)" in structs
     sound(project)
+    shout = project.store.read("structs").where("name = 'shout'").first()["id"]
+    project.store.update_descriptions(spark.createDataFrame([(shout, "loud")], "id string, description string"))
+    last = project.store.require()
+    assert sum(v != after["tables"]["structs"].get(k) for k, v in last["tables"]["structs"].items()) == 1
+    with pytest.raises(StoreConflict):
+        project.store.write(*project.store.tables(), touched=[0], base=after)
+
+
+def test_batches_and_conflicts(spark, root, monkeypatch):
+    """A batch that comes again is passed over; one that another writer overtook is worked out again."""
+    project = Project(spark, str(root))
+    project.parse()
+    epoch = project.store.require()["applied"]["epoch"]
+    batch = changes(spark, root, lambda: (root / "x.py").write_text("def x():\n    return 1\n"))
+    assert apply_changes(project, batch, mark={"epoch": epoch, "seq": 1})["changed"] == 1
+    assert apply_changes(project, batch, mark={"epoch": epoch, "seq": 1}) == {"changed": 0, "deleted": 0, "removed": 0, "buckets": 0}
+    real, left = project.store.write, [1]
+
+    def write(*a, **k):
+        if left:
+            left.pop()
+            structs = project.store.read("structs")
+            one = structs.where("name = 'shout'").first()["id"]
+            monkeypatch.setattr(project.store, "write", real)
+            project.store.update_descriptions(spark.createDataFrame([(one, "overtaken")], "id string, description string"))
+            monkeypatch.setattr(project.store, "write", write)
+        return real(*a, **k)
+
+    monkeypatch.setattr(project.store, "write", write)
+    batch = changes(spark, root, lambda: (root / "y.py").write_text("def y():\n    return 1\n"))
+    apply_changes(project, batch, mark={"epoch": epoch, "seq": 2})
+    structs = {r["uid"]: r["description"] for r in project.store.read("structs").collect()}
+    assert structs["tools.py#shout(...)"] == "overtaken" and {"x.py#x(...)", "y.py#y(...)"} <= set(structs)
+
+
+def test_sync_and_status(spark, root):
+    project = Project(spark, str(root))
+    first = project.sync(watch=False)
+    assert first["structs"] == 18 and first["resolved"] > 5 and first["embedded"] == 16 and first["described"] == 0
+    assert project.sync(watch=False) is None and project.sync(use_cache=False, watch=False)["carried"] == 0
+    held = {(r["kind"], r["name"]): r["n"] for r in project.status().collect()}
+    assert held["store", "bytes"] > 1000 and abs(held["store", "written"] - time.time()) < 600
+    assert project.skeleton(str(root / "store")).count() == project.skeleton("store").count() > 0
+
+
+def test_describes_classes_by_skeleton_and_methods_in_batches(spark, root):
+    def describer(asked):
+        if asked["kind"] == "class":
+            assert asked["uid"] != "store/shelf.py#Shelf" or "def put" in asked["code"]
+            return {"description": f"class {asked['name']}: {len(asked['code'])}", "methods": {k: f"said of {v}" for k, v in asked["methods"].items()} | {"x": "no number", "99": "none such"}}
+        if asked["kind"] == "file":
+            return {"description": f"file of {sorted(asked.get('described', {}))}", "methods": {k: f"from {len(v)}" for k, v in asked["methods"].items()}}
+        return None if asked["uid"] == "store" else "dir"
+
+    (root / "alone").mkdir()
+    project = Project(spark, str(root), describers={"plain": lambda: describer, "other": lambda model: 1 / 0})
+    counts = project.parse(llm="plain")
+    said = {r["uid"]: r["description"] for r in project.store.read("structs").collect()}
+    assert said["store/base.py#Keeper.keep(...)"] == "said of def keep(self, thing)" and said["store/base.py"] == said["store/base.py#Keeper"]
+    assert said["tools.py#shout(...)"].startswith("from ") and said["tools.py"] == "file of []" and said["store"] is None
+    assert said["alone"] == "Empty Directory" and said["."] == "dir" and said["store/shelf.py#Shelf.owner"] is None
+    assert counts["described"] == sum(x is not None for x in said.values())
+    structs, _, held = project.store.tables()
+    vectors = {r["uid"]: r["vector"] for r in held.join(structs.select("id", "uid"), F.col("struct_id") == F.col("id")).collect()}
+    assert vectors["store/base.py"] == vectors["store/base.py#Keeper"]
+    assert not {"alone", "store", "store/__init__.py"} & set(vectors) and "." in vectors
+    assert project.parse(no_llm=True)["described"] == 0
+    with pytest.raises(ValueError, match="unknown strategy"):
+        project.parse(llm="nobody")
 
 
 def test_shell_and_updates(spark, root, capsys):
@@ -172,7 +295,7 @@ def test_incompatible_store_is_refused_then_rebuilt(spark, root):
     project = Project(spark, str(root))
     project.parse()
     meta = root / ".sylva" / "store" / "_meta.json"
-    meta.write_text(meta.read_text().replace('"format": 2', '"format": 1'))
+    meta.write_text(meta.read_text().replace(f'"format": {STORE_VERSION}', '"format": 1'))
     (root / ".sylva" / "store" / "._meta.json.crc").unlink(missing_ok=True)
     with pytest.raises(StoreError):
         project.status()
