@@ -16,6 +16,7 @@ from ..operators.resolve import Resolver
 from ..schema import CALL, STALE
 from ..scratch import save
 from ..sources.ignore import ignored
+from ..sources.tree import parse_sources
 
 QUERIES, SQL = {}, {}
 
@@ -66,8 +67,8 @@ def struct_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: read(spark, sf_dir, name)
     none = F.lit(None).cast("string")
     places = t("nation").select("n_nationkey", F.format_string("R%d/N%d", "n_regionkey", "n_nationkey").alias("place"), F.format_string("R%d", "n_regionkey").alias("top"), "n_name")
-    customers = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("place", F.lit("/C"), "c_custkey").alias("uid"), "place", "c_name")
-    suppliers = t("supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("place", F.lit("/S"), "s_suppkey").alias("uid"), "place", "s_name")
+    customers = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("place", F.lit("/C"), "c_custkey").alias("uid"), "place", "c_name")
+    suppliers = t("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("place", F.lit("/S"), "s_suppkey").alias("uid"), "place", "s_name")
     ords = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat("uid", F.lit("#O"), "o_orderkey").alias("order_uid"), F.col("uid").alias("file"))
     lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("ref")).join(ords, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = [
@@ -85,12 +86,13 @@ def struct_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("id", fn.struct_id("uid", "type")).withColumn("parent_id", F.when(F.col("parent_uid").isNotNull(), fn.struct_id("parent_uid", kind)))
 
 
-def leaf_edges(view: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(source, target)`` ids: line to supplier."""
+def leaf_edges(view: DataFrame, spark: SparkSession, sf_dir: str, key: str = "id") -> DataFrame:
+    """``(source, target)`` ids (or uids, as ``key`` says): line to supplier."""
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    named = suppliers.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", fn.struct_id(F.format_string("R%d/N%d/S%d", "n_regionkey", "n_nationkey", "s_suppkey"), F.lit("file")).alias("target"))
-    return view.where("ref is not null").join(named, F.col("ref") == F.col("s_suppkey")).select(F.col("id").alias("source"), "target")
+    uid = F.format_string("R%d/N%d/S%d", "n_regionkey", "n_nationkey", "s_suppkey")
+    named = suppliers.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", (uid if key == "uid" else fn.struct_id(uid, F.lit("file"))).alias("target"))
+    return view.where("ref is not null").join(named, F.col("ref") == F.col("s_suppkey")).select(F.col(key).alias("source"), "target")
 
 
 def id_sql(uid: str, kind: str) -> str:
@@ -111,12 +113,13 @@ def search_knn(spark, sf_dir):
     return search.nearest(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 5, "vec_id", "embedding")
 
 
-@query(f"""SELECT * FROM (SELECT vec_id, label, round(list_distance(embedding::DOUBLE[], {QUERY_VECTOR}), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 50)
-WHERE label = 2 ORDER BY distance, vec_id LIMIT 5""")
+@query(f"""SELECT id, uid, type, distance FROM (SELECT 'V-' || substr(md5('v' || vec_id), 1, 10) AS id, 'v' || vec_id AS uid, CASE WHEN label = 2 THEN 'BaseMethod' ELSE 'class' END AS type,
+  round(list_distance(embedding::DOUBLE[], {QUERY_VECTOR}), 6) AS distance FROM embeddings ORDER BY distance, id LIMIT 50) WHERE type = 'BaseMethod' ORDER BY distance, id LIMIT 5""")
 def search_knn_filtered(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    hits = search.nearest(rows, _query_vector(spark, sf_dir), 5 * search.OVER_FETCH, "vec_id", "embedding")
-    return hits.join(rows.select("vec_id", "label"), "vec_id").where("label = 2").orderBy("distance", "vec_id").limit(5)
+    """The filter is part of the type's name, in any case, and comes after ten times as many were fetched."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("uid", F.concat(F.lit("v"), "vec_id")).withColumn("id", fn.struct_id("uid", F.lit("field")))
+    structs = rows.select("id", "uid", F.when(F.col("label") == 2, "BaseMethod").otherwise("class").alias("type"))
+    return search.search(structs, rows.select(F.col("id").alias("struct_id"), F.col("embedding").alias("vector")), _query_vector(spark, sf_dir), "mETHOD", 5)
 
 
 @query("""SELECT id, uid, type, distance FROM (SELECT 'V-' || substr(md5('v' || vec_id), 1, 10) AS id, 'v' || vec_id AS uid, CASE WHEN label % 2 = 0 THEN 'method' ELSE 'class' END AS type,
@@ -183,8 +186,10 @@ def ext_route(spark, sf_dir):
 @query("""SELECT page_id, md5(html) AS diff_hash, CASE WHEN html LIKE '%' || chr(10) THEN greatest(len(string_split(html, chr(10))) - 1, 1) ELSE len(string_split(html, chr(10))) END AS end_line,
 'F-' || substr(md5('page_' || page_id || '.html'), 1, 10) AS id FROM pages""")
 def html_files(spark, sf_dir):
-    uid = F.concat(F.lit("page_"), F.col("page_id"), F.lit(".html"))
-    return read(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("diff_hash"), fn.line_count("html").cast("long").alias("end_line"), fn.struct_id(uid, F.lit("file")).alias("id"))
+    """Pages through the parser, as files of a tree."""
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("body"))
+    rows = parse_sources(pages).where("type = 'file'")
+    return rows.select(F.regexp_extract("uid", r"(\d+)", 1).cast("long").alias("page_id"), "diff_hash", F.col("end_line").cast("long").alias("end_line"), fn.struct_id("uid", "type").alias("id"))
 
 
 URL_RULES = ("*.html", "/de/", "fr/", "!*7.html", "es/*5*")
@@ -253,7 +258,7 @@ def skeleton_files_only(spark, sf_dir):
 FROM customers LEFT JOIN ords ON ords.parent_uid = customers.uid LEFT JOIN lines ON lines.parent_uid = ords.uid GROUP BY customers.uid""")
 def inspect_rollup(spark, sf_dir):
     """Two levels below every customer, gathered."""
-    view = save(struct_view(spark, sf_dir), "view")
+    view = save(struct_view(spark, sf_dir).where("type <> 'directory'").select("id", "uid", "type", "parent_id"), "view")
     counts = view.where("type = 'method'").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("k"))
     classes = view.where("type = 'class'").join(counts, "id", "left").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_classes"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_methods"), F.array_join(F.sort_array(F.collect_list("uid")), ",").alias("classes"))
     files = view.where("type = 'file'").where(F.substring_index("uid", "/", -1).startswith("C"))
@@ -283,21 +288,20 @@ def single_child_passthrough(spark, sf_dir):
 @query(f"""WITH {VIEW} SELECT {id_sql('source', "'method'")} AS source_id, {id_sql('target', "'file'")} AS target_id, 'depends_on' AS edge_type FROM leaf
 UNION SELECT {id_sql('s.uid', 's.type')}, {id_sql('p.uid', 'p.type')}, 'is_child_of' FROM structs s JOIN structs p ON s.parent_uid = p.uid""")
 def edge_list(spark, sf_dir):
-    view = struct_view(spark, sf_dir)
+    view = save(struct_view(spark, sf_dir).select("id", "parent_id", "ref"), "view")
     deps = leaf_edges(view, spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
     return graph.all_edges(view, deps)
 
 
 def _rolled(spark, sf_dir):
-    view = save(struct_view(spark, sf_dir), "view")
-    return view, graph.roll_up(leaf_edges(view, spark, sf_dir), view.select("id", "parent_id"))
+    """The view and its dependencies rolled up, both by uid: roll-up asks of its keys only that they tell rows apart."""
+    view = save(struct_view(spark, sf_dir).select("uid", "type", "parent_uid", "ref"), "view")
+    return view, graph.roll_up(leaf_edges(view, spark, sf_dir, "uid"), view.select(F.col("uid").alias("id"), F.col("parent_uid").alias("parent_id")))
 
 
 @query(ROLLED + "SELECT source, target FROM rolled")
 def edge_rollup(spark, sf_dir):
-    view, rolled = _rolled(spark, sf_dir)
-    uid = view.select("id", "uid")
-    return rolled.join(uid.select(F.col("id").alias("source"), F.col("uid").alias("s")), "source").join(uid.select(F.col("id").alias("target"), F.col("uid").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"))
+    return _rolled(spark, sf_dir)[1]
 
 
 @query(ROLLED + """, i AS (SELECT target AS uid, count(*) AS n FROM rolled GROUP BY 1), o AS (SELECT source AS uid, count(*) AS n FROM rolled GROUP BY 1),
@@ -307,7 +311,39 @@ FROM structs LEFT JOIN i USING (uid) LEFT JOIN o USING (uid) LEFT JOIN c USING (
 def fan_in_out(spark, sf_dir):
     view, rolled = _rolled(spark, sf_dir)
     edges = rolled.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
-    return graph.fan(edges, view).select("uid", "fan_in", "fan_out", "n_children", "impact_score")
+    structs = view.select(F.col("uid").alias("id"), "uid", "type", F.col("parent_uid").alias("parent_id"))
+    return graph.fan(edges, structs).select("uid", "fan_in", "fan_out", "n_children", "impact_score")
+
+
+TWO_KINDS = "(substr(source, length(source), 1)::INT % 2 = 0)"
+
+
+@query(f"""WITH RECURSIVE {VIEW},
+up AS (SELECT uid, parent_uid FROM structs WHERE parent_uid IS NOT NULL),
+rolled AS (
+  SELECT source, target, CASE WHEN {TWO_KINDS} THEN 'depends_on' ELSE 'depends_on_fuzzy' END AS edge_type FROM leaf
+  UNION
+  SELECT a.parent_uid, b.parent_uid, edge_type FROM rolled JOIN up a ON source = a.uid JOIN up b ON target = b.uid WHERE a.parent_uid <> b.parent_uid)
+SELECT source AS source_id, target AS target_id, edge_type FROM rolled""")
+def fuzzy_rollup(spark, sf_dir):
+    """Lines with an odd number are guesses; both kinds roll up, each by itself."""
+    view = save(struct_view(spark, sf_dir).select("uid", "type", "parent_uid", "ref"), "view")
+    leaf = leaf_edges(view, spark, sf_dir, "uid")
+    even = F.substring("source", -1, 1).cast("int") % 2 == 0
+    return graph.dependency_edges(leaf.where(even), leaf.where(~even), view.select(F.col("uid").alias("id"), F.col("parent_uid").alias("parent_id")))
+
+
+@query(f"""WITH {VIEW}, said AS (SELECT source, target, CASE WHEN {TWO_KINDS} THEN '' ELSE '~' END AS mark, {id_sql('source', "'method'")} AS s, {id_sql('target', "'file'")} AS t FROM leaf),
+o AS (SELECT s AS id, md5(string_agg(mark || t || '|' || target, ',' ORDER BY mark || t || '|' || target)) AS h FROM said GROUP BY 1),
+i AS (SELECT t AS id, md5(string_agg(mark || s || '|' || source, ',' ORDER BY mark || s || '|' || source)) AS h FROM said GROUP BY 1)
+SELECT coalesce(o.id, i.id) AS id, coalesce(i.h, md5('')) AS inbound_md5, coalesce(o.h, md5('')) AS outbound_md5 FROM o FULL JOIN i ON o.id = i.id""")
+def dependency_strings(spark, sf_dir):
+    view = save(struct_view(spark, sf_dir).select("id", "uid", "type", "ref"), "view")
+    leaf = leaf_edges(view, spark, sf_dir).join(view.select(F.col("id").alias("source"), "uid"), "source")
+    kind = F.when(F.substring("uid", -1, 1).cast("int") % 2 == 0, "depends_on").otherwise("depends_on_fuzzy")
+    edges = leaf.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), kind.alias("edge_type"))
+    said = graph.dependency_strings(edges, view)
+    return said.select("id", F.md5(F.array_join("inbound", ",")).alias("inbound_md5"), F.md5(F.array_join("outbound", ",")).alias("outbound_md5"))
 
 
 @query(f"WITH {VIEW} SELECT source, target FROM leaf JOIN suppliers ON target = uid WHERE s_acctbal >= 0")
@@ -326,7 +362,7 @@ def edge_endpoints_exist(spark, sf_dir):
 SELECT 'structs' AS what, count(*) AS n FROM kept UNION ALL SELECT 'edges', (SELECT count(*) FROM leaf WHERE source IN (SELECT uid FROM kept) AND target IN (SELECT uid FROM kept))
  + (SELECT count(*) FROM kept WHERE parent_uid IN (SELECT uid FROM kept))""")
 def delete_subtree(spark, sf_dir):
-    view = save(struct_view(spark, sf_dir), "view")
+    view = save(struct_view(spark, sf_dir).select("id", "path", "parent_id", "ref"), "view")
     deps = leaf_edges(view, spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
     vectors = view.select(F.col("id").alias("struct_id"))
     structs, edges, _ = reuse.drop_subtree(view, graph.all_edges(view, deps), vectors, "R1/N1")
