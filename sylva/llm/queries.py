@@ -147,11 +147,15 @@ edits AS (SELECT doc_id, length(text) AS n, text, coalesce(after, top) AS follow
 texts AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits UNION ALL SELECT doc_id, 2, following FROM edits),
 words AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM texts),
 content AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({spotsigs._STOP})) AS p FROM words),
+gaps AS (SELECT *, [p[k] - CASE WHEN k = 1 THEN 0 ELSE p[k - 1] END FOR k IN range(1, len(p) + 1)] AS g FROM content),
 spots AS (
-  SELECT doc_id, kind, w, CASE WHEN len(w) < {spotsigs.SHORT} THEN [] ELSE flatten([[left(md5(concat_ws(' ', w[a], w[p[k]], w[p[k + 1]])), {spotsigs.DIGITS})
-    FOR a IN range(CASE WHEN k = 1 THEN 1 ELSE p[k - 1] + 1 END, p[k])] FOR k IN range(1, len(p))]) END AS g
-  FROM content),
-sets AS (SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(g) > 0 THEN g ELSE [left(md5(concat_ws(' ', w[i], w[i + 1])), {spotsigs.DIGITS}) FOR i IN range(1, len(w) + 1)] END)) AS s FROM spots),
+  SELECT doc_id, kind, list_concat(
+    flatten([list_concat(
+      [left(md5(concat_ws(' ', w[a], w[p[k]], w[p[k + 1]])), {spotsigs.DIGITS}) FOR a IN range(p[k] - g[k] + 1, p[k])],
+      CASE WHEN g[k] = 1 AND (k = 1 OR g[k - 1] = 1) THEN [left(md5(concat_ws(' ', w[p[k]], w[p[k] + 1])), {spotsigs.DIGITS})] ELSE [] END) FOR k IN range(1, len(p) + 1)]),
+    [left(md5(w[a]), {spotsigs.DIGITS}) FOR a IN range(coalesce(p[len(p)], 0) + 1, len(w) + 1)]) AS g
+  FROM gaps),
+sets AS (SELECT doc_id, kind, list_sort(list_distinct(g)) AS s FROM spots),
 wide AS (SELECT doc_id, max(s) FILTER (kind = 0) AS a, max(s) FILTER (kind = 1) AS b, max(s) FILTER (kind = 2) AS c FROM sets GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
        CASE WHEN a = b THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE AS near_edited,

@@ -1,10 +1,10 @@
 """SpotSigs fingerprints, with DataFrame functions only.
 
 Words are runs of letters and digits of the lower-cased text. Wherever an anchor (a common word of the four languages)
-stands, it and the next ``CHAIN`` content words (words that are no anchors) make a spot signature; the set of a text's
-signatures is its fingerprint. Prose spots many; a text of fewer than ``SHORT`` words, or without any spot, takes
-every pair of neighbouring words instead, so that it still has something to compare. The likeness of two texts is the
-Jaccard coefficient of their sets.
+stands, it and the two content words (words that are no anchors) that follow it make a spot signature. A content word that
+no anchor's chain reaches makes a signature with the word after it, so that a stretch without anchors is represented, too.
+Both are settled by the words near by, whatever the length of the text; the set of a text's signatures is its
+fingerprint. The likeness of two texts is the Jaccard coefficient of their sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ ANCHORS = (
     "de la le et les des en un du une que est pour par dans qui sur au pas avec "
     "de la que el en y los las se del un por con no una su para es al lo"
 ).split()
-SHORT = 24
 #: Hex digits of a signature's digest.
 DIGITS = 8
 LIKE = 0.8
@@ -34,16 +33,20 @@ _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """df with ``out``: the distinct signatures' digests in order, joined without a separator; a text without words
     (null too) has the empty fingerprint. Each step is a projection of its own, so the arrays are built once a row."""
-    w, p, g = f"_{out}_words", f"_{out}_content", f"_{out}_sigs"
+    w, p = f"_{out}_words", f"_{out}_content"
+    sig = lambda *words: f"left(md5(concat_ws(' ', {', '.join(words)})), {DIGITS})"
     df = df.withColumn(w, F.expr(f"filter(split(lower(coalesce({text_col}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x != '')"))
     df = df.withColumn(p, F.expr(f"filter(transform({w}, (x, i) -> if(x IN ({_STOP}), -1, i)), i -> i >= 0)"))
-    spots = f"""flatten(transform(slice({p}, 1, greatest(size({p}) - 1, 0)), (v, k) ->
-        transform(slice({w}, if(k = 0, 1, {p}[greatest(k - 1, 0)] + 2), if(k = 0, v, v - {p}[greatest(k - 1, 0)] - 1)),
-                  a -> left(md5(concat_ws(' ', a, {w}[v], {w}[{p}[k + 1]])), {DIGITS}))))"""
-    pairs = f"transform({w}, (x, i) -> left(md5(concat_ws(' ', x, get({w}, i + 1))), {DIGITS}))"
-    df = df.withColumn(g, F.expr(f"if(size({w}) < {SHORT}, array(), {spots})"))
-    df = df.withColumn(out, F.expr(f"concat_ws('', sort_array(array_distinct(if(size({g}) > 0, {g}, {pairs}))))"))
-    return df.drop(w, p, g)
+    # Between two content words stand anchors; where there are none, and none before the word ahead, no chain reaches.
+    before = lambda k: f"if({k} < 1, -1, {p}[greatest({k} - 1, 0)])"
+    bare = f"v - {before('k')} = 1 AND (k = 0 OR {p}[greatest(k - 1, 0)] - {before('k - 1')} = 1)"
+    spots = f"""flatten(transform({p}, (v, k) -> concat(
+        transform(slice({w}, {before('k')} + 2, v - {before('k')} - 1), a -> {sig('a', f'{w}[v]', f'get({w}, get({p}, k + 1))')}),
+        if({bare}, array({sig(f'{w}[v]', f'get({w}, v + 1)')}), array()))))"""
+    last = f"if(size({p}) = 0, -1, {p}[greatest(size({p}) - 1, 0)])"
+    rest = f"transform(slice({w}, {last} + 2, size({w}) - {last} - 1), a -> {sig('a')})"
+    df = df.withColumn(out, F.expr(f"concat_ws('', sort_array(array_distinct(concat({spots}, {rest}))))"))
+    return df.drop(w, p)
 
 
 def members(fingerprint: str | Column) -> Column:
@@ -87,12 +90,12 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     before = ranked.select(((F.col("rank") + 1) % F.lit(max(total, 1))).alias("rank"), F.col("o").alias("po"), F.col("key").alias("pkey"), F.col("n").alias("pn"))
     told = base.join(ranked.join(before, "rank").select("o", "key", "n", "po", "pkey", "pn").hint("shuffle_hash"), ["o", "key"])
     heads = with_fingerprint(told.select("po", "pkey", "pn", "text"), "text", "next_fp").select(
-        F.col("po").alias("o"), F.col("pkey").alias("key"), F.expr("left(text, pn div 4)").alias("head"), "next_fp"
+        F.col("po").alias("o"), F.col("pkey").alias("key"), F.expr("left(text, pn div 4)").alias("head"), F.unhex("next_fp").alias("next_fp")
     )
     if docs.count() != total:
         heads = heads.groupBy("o", "key").agg(F.max(F.struct("head", "next_fp")).alias("x")).select("o", "key", "x.*")
     both = told.select("o", "key", "n", "text").join(heads.hint("shuffle_hash"), ["o", "key"])
-    both = both.select(F.when(F.col("o") != none, F.col("o")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", F.expr("concat(left(text, n - n div 4), head)").alias("edited"), "next_fp")
+    both = both.select(F.when(F.col("o") != none, F.col("o")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", F.expr("concat(left(text, n - n div 4), head)").alias("edited"), F.lower(F.hex("next_fp")).alias("next_fp"))
     both = with_fingerprint(with_fingerprint(both, "text", "fingerprint"), "edited", "edited_fingerprint")
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",

@@ -9,9 +9,18 @@ from sylva.llm import spotsigs
 
 def plain_set(text):
     w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
-    content = [k for k, x in enumerate(w) if x not in spotsigs.ANCHORS]
-    sigs = [] if len(w) < spotsigs.SHORT else [(w[a], w[i], w[j]) for n, (i, j) in enumerate(zip(content, content[1:])) for a in range(content[n - 1] + 1 if n else 0, i)]
-    sigs = sigs or [tuple(w[k : k + 2]) for k in range(len(w))]
+    common = set(spotsigs.ANCHORS)
+    sigs = []
+    for k, x in enumerate(w):
+        after = [y for y in w[k + 1 :] if y not in common][:2]
+        if x in common:
+            sigs.append((x, *after))
+            continue
+        # Within reach of an anchor's chain: an anchor stands right before it, or before the content word ahead of it.
+        ahead = k - 1
+        reached = ahead >= 0 and (w[ahead] in common or ahead >= 1 and w[ahead - 1] in common)
+        if not reached:
+            sigs.append(tuple(w[k : k + 2]))
     return {hashlib.md5(" ".join(s).encode()).hexdigest()[: spotsigs.DIGITS] for s in sigs}
 
 
@@ -72,3 +81,15 @@ def test_similar_pairs_against_brute_force(spark, docs):
     assert got == want and want
     members = {r["doc_id"]: r["class_id"] for r in spotsigs.members_of(prints).collect()}
     assert members[1000] == 0 and members[1002] == 1001
+
+
+def test_likeness_does_not_jump_with_length_or_the_first_anchor(docs):
+    rng = random.Random(4)
+    words = prose(rng, 24).split()
+    plain = [f"w{rng.randrange(400)}" for _ in range(60)]
+    texts = {0: " ".join(words), 1: " ".join(words[:23]), 2: " ".join(plain), 3: " ".join([*plain[:30], "the", *plain[30:]]), 4: "the", 5: "the word", 6: None}
+    got = {r["doc_id"]: r for r in spotsigs.compare_with_next(docs(*texts.items())).collect()}
+    assert got[0]["near_next"] > 0.7  # 24 and 23 words: a signature each way at the cut
+    assert got[2]["near_next"] > 0.9  # no anchor and one
+    assert all(got[k]["fingerprint"] for k in range(6)) and got[6]["fingerprint"] == ""
+    assert all(got[k]["near_edited"] > 0.4 for k in (0, 1, 2, 3))
