@@ -199,7 +199,9 @@ def classify(unit_rows: DataFrame) -> DataFrame:
     idf, unseen, rows = weights()
     words = spark.createDataFrame([(t, v) for t, v in sorted(idf.items())], "term string, idf double")
     vectors = spark.createDataFrame(rows, "term string, template int, licence string, weight double")
-    counted = unit_rows.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("path", "unit", "term").agg(F.count("*").alias("tf"))
+    # Units are dealt out as texts, which are smaller than their terms; all that follows then stays where it is.
+    dealt = unit_rows.select("path", "unit", "text").repartition("path", "unit")
+    counted = dealt.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("path", "unit", "term").agg(F.count("*").alias("tf"))
     tfidf = counted.join(F.broadcast(words), "term", "left").select("path", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("v"))
     norms = tfidf.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     dots = tfidf.join(F.broadcast(vectors), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
