@@ -7,8 +7,9 @@ trie in depth-first order (sorted, a stack holding the last tokens along the cur
 once from nodes above it, and words with a common prefix share its states. Cost is linear in trie nodes, also for
 words of any length.
 
-Documents are independent, so there is no shuffle. Solved chunks are memoised in each Python worker; once there are
-``MEMO_CHUNKS``, those not in use are forgotten. That bounds memory and never changes a result.
+Documents are independent, so there is no shuffle. Solved chunks are memoised in each Python worker; whenever there are
+``MEMO_CHUNKS``, those that were not used since the last time are forgotten. That bounds memory and never changes a
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-MEMO_CHUNKS = 150_000
+MEMO_CHUNKS = 200_000
 #: Pairs of tokens remembered as staying apart or not; forgotten likewise when there are more.
 MEMO_PAIRS = 600_000
 END = "</w>"
@@ -54,7 +55,9 @@ class TrieEncoder:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         # A chunk without any of these has no special token in it.
         self.marks = sorted({t[:2] for t in self.special})
+        self.mark = self.marks[0] if len(self.marks) == 1 else None
         self.names = {v: k for k, v in (self.ids | self.special).items()}
+        self.name = self.names.__getitem__
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.shown = dict(enumerate(self._byte_letters()))
@@ -66,6 +69,7 @@ class TrieEncoder:
         self.length = {self.ids[t]: len(t) for t in inner} | {self.ids[t + END]: len(t) for t in final}
         self.apart: dict[int, bool] = {}
         self.memo: dict[str, tuple[str, str]] = {"": ("", "")}
+        self.older: dict[str, tuple[str, str]] = {}
         self.said = {n: str(n) for n in self.ids.values()}.__getitem__
 
     @staticmethod
@@ -173,8 +177,8 @@ class TrieEncoder:
 
     def solve(self, chunks) -> None:
         """Fills the memo for chunks (stretches of text between white space): ids and decoded text of each."""
-        special = {c for m in self.marks for c in chunks if m in c}
-        cut = {c: self.words_of(c) for c in chunks if c not in special}
+        special = {c for c in chunks if mark in c} if (mark := self.mark) else {c for c in chunks if any(m in c for m in self.marks)}
+        cut = {c: self.words_of(c) for c in (chunks.difference(special) if special else chunks)}
         marked = {c: [[p] if p in self.special else self.words_of(p) for p in self.split_special.split(c)] for c in special}
         words = set().union(*cut.values(), *(p for parts in marked.values() for p in parts)).difference(self.special)
         out = {w: (" ".join(map(self.said, tokens)), self.decode(tokens)) for w, tokens in self.encode_words(words).items()}
@@ -189,8 +193,10 @@ class TrieEncoder:
     def decode(self, numbers) -> str:
         """The text of token ids; ids outside the vocabulary are left out. The format defines no decoder, so tokens
         stand as they are, joined by one space; so texts may be decoded piece by piece."""
-        names = self.names
-        return " ".join([names[n] for n in numbers if n in names])
+        try:
+            return " ".join(map(self.name, numbers))
+        except KeyError:
+            return " ".join([self.names[n] for n in numbers if n in self.names])
 
     def encode_texts(self, texts):
         """Yields per text (null: empty) its ids in decimal and its decoded text, each joined by one space."""
@@ -203,8 +209,11 @@ class TrieEncoder:
             cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at:upto]]
             chunks = set().union(*cut)
             missing = chunks.difference(self.memo)
-            if len(self.memo) + len(missing) > MEMO_CHUNKS:
-                self.memo = {c: self.memo[c] for c in chunks.difference(missing)}  # what is in use stays
+            again = [c for c in missing if c in self.older]
+            self.memo.update((c, self.older[c]) for c in again)
+            missing.difference_update(again)
+            if len(self.memo) + len(missing) > MEMO_CHUNKS:  # what is in use stays, the others are kept for one turn more
+                self.older, self.memo = self.memo, {c: self.memo[c] for c in chunks.difference(missing)}
             self.solve(missing)
             memo = self.memo
             for own in cut:
