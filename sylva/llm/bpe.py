@@ -68,8 +68,9 @@ class TrieEncoder:
         self.final = {t[k:]: -1 for t in final for k in range(1, len(t))} | {t: self.ids[t + END] for t in final}
         self.length = {self.ids[t]: len(t) for t in inner} | {self.ids[t + END]: len(t) for t in final}
         self.apart: dict[int, bool] = {}
-        self.memo: dict[str, tuple[str, str]] = {"": ("", "")}
-        self.older: dict[str, tuple[str, str]] = {}
+        # By chunk its ids and its decoded text, in two tables so that a text is put together without a loop.
+        self.memo: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
         self.said = {n: str(n) for n in self.ids.values()}.__getitem__
 
     @staticmethod
@@ -183,12 +184,15 @@ class TrieEncoder:
         words = set().union(*cut.values(), *(p for parts in marked.values() for p in parts)).difference(self.special)
         out = {w: (" ".join(map(self.said, tokens)), self.decode(tokens)) for w, tokens in self.encode_words(words).items()}
         out |= {t: (str(n), self.decode([n])) for t, n in self.special.items()}
-        memo = self.memo
+        ids, texts = self.memo
         for c, own in cut.items():
-            memo[c] = out[own[0]] if len(own) == 1 else (" ".join([out[w][0] for w in own]), " ".join([out[w][1] for w in own]))
+            if len(own) == 1:
+                ids[c], texts[c] = out[own[0]]
+            else:
+                ids[c], texts[c] = " ".join([out[w][0] for w in own]), " ".join([out[w][1] for w in own])
         for c, parts in marked.items():
             own = [out[w] for p in parts for w in p]
-            memo[c] = " ".join([x[0] for x in own]), " ".join([x[1] for x in own])
+            ids[c], texts[c] = " ".join([x[0] for x in own]), " ".join([x[1] for x in own])
 
     def decode(self, numbers) -> str:
         """The text of token ids; ids outside the vocabulary are left out. The format defines no decoder, so tokens
@@ -208,17 +212,19 @@ class TrieEncoder:
                 upto += 1
             cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at:upto]]
             chunks = set().union(*cut)
-            missing = chunks.difference(self.memo)
-            again = [c for c in missing if c in self.older]
-            self.memo.update((c, self.older[c]) for c in again)
+            ids, decoded = self.memo
+            missing = chunks.difference(ids)
+            again = [c for c in missing if c in self.older[0]]
+            for c in again:
+                ids[c], decoded[c] = self.older[0][c], self.older[1][c]
             missing.difference_update(again)
-            if len(self.memo) + len(missing) > MEMO_CHUNKS:  # what is in use stays, the others are kept for one turn more
-                self.older, self.memo = self.memo, {c: self.memo[c] for c in chunks.difference(missing)}
+            if len(ids) + len(missing) > MEMO_CHUNKS:  # what is in use stays, the others are kept for one turn more
+                kept = chunks.difference(missing)
+                self.older, self.memo = self.memo, ({c: ids[c] for c in kept}, {c: decoded[c] for c in kept})
+                ids, decoded = self.memo
             self.solve(missing)
-            memo = self.memo
             for own in cut:
-                solved = [x for c in own if (x := memo[c])[0]]
-                yield " ".join([x[0] for x in solved]), " ".join([x[1] for x in solved])
+                yield " ".join(filter(None, map(ids.__getitem__, own))), " ".join(filter(None, map(decoded.__getitem__, own)))
             at = upto
 
 
