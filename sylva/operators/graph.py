@@ -60,20 +60,25 @@ def orphans(structs: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFra
     return dangling.agg(F.count("*").alias("n")).select(F.lit("dangling_edges").alias("kind"), "n").unionByName(lost.agg(F.count("*").alias("n")).select(F.lit("orphan_vectors").alias("kind"), "n"))
 
 
-def dependency_strings(edges: DataFrame, structs: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """Per id the sorted ``id|uid`` lists of inbound and outbound dependencies, fuzzy ones marked ``~``; only for the
-    structs ``of(id)``, if given."""
-    uids = structs.select("id", "uid")
+def dependency_strings(edges: DataFrame, structs: DataFrame, of: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Per ``key`` the sorted ``id|uid`` lists of inbound and outbound dependencies, fuzzy ones marked ``~``; only for the
+    structs ``of(key)``, if given. The key is ``id``, or ``uid``, which alone tells structs of one id apart.
+
+    Edges that have ``source_uid`` and ``target_uid`` need no look at the structs, and only they can be told by uid."""
     kinds = edges.where(F.col("edge_type").isin(DEPENDS, FUZZY))
     outward = inward = kinds
     if of is not None:
-        asked = of.select(F.col("id").alias("_of")).distinct()
-        outward, inward = (kinds.join(asked, F.col(end) == F.col("_of"), "left_semi") for end in ("source_id", "target_id"))
+        asked = of.select(F.col(key).alias("_of")).distinct()
+        outward, inward = (kinds.join(asked, F.col(f"{end}_{key}") == F.col("_of"), "left_semi") for end in ("source", "target"))
+    if "source_uid" not in edges.columns:
+        uids = structs.select("id", "uid")
+        outward = outward.join(uids.withColumnRenamed("uid", "target_uid"), F.col("target_id") == F.col("id"))
+        inward = inward.join(uids.withColumnRenamed("uid", "source_uid"), F.col("source_id") == F.col("id"))
     mark = F.when(F.col("edge_type") == FUZZY, "~").otherwise("")
-    said = F.concat(mark, F.col("id"), F.lit("|"), F.col("uid"))
-    out = outward.join(uids, F.col("target_id") == F.col("id")).groupBy(F.col("source_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("outbound"))
-    into = inward.join(uids, F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("of")).agg(F.sort_array(F.collect_list(said)).alias("inbound"))
-    return out.join(into, "of", "full").select(F.col("of").alias("id"), F.coalesce("inbound", F.array().cast("array<string>")).alias("inbound"), F.coalesce("outbound", F.array().cast("array<string>")).alias("outbound"))
+    said = lambda end: F.concat(mark, F.col(f"{end}_id"), F.lit("|"), F.col(f"{end}_uid"))
+    out = outward.groupBy(F.col(f"source_{key}").alias("of")).agg(F.sort_array(F.collect_list(said("target"))).alias("outbound"))
+    into = inward.groupBy(F.col(f"target_{key}").alias("of")).agg(F.sort_array(F.collect_list(said("source"))).alias("inbound"))
+    return out.join(into, "of", "full").select(F.col("of").alias(key), F.coalesce("inbound", F.array().cast("array<string>")).alias("inbound"), F.coalesce("outbound", F.array().cast("array<string>")).alias("outbound"))
 
 
 def fan(edges: DataFrame, structs: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def cut(lines: list[str], max_lines: int) -> str:
 
 
 def resolve_references(references: list[str], structs: DataFrame) -> DataFrame:
-    """``(pos, ref, id)`` of ids and uids in the order given; id is null for what is not there."""
+    """``(pos, ref, id, uid)`` of ids and uids in the order given; id and uid are null for what is not there."""
     spark = structs.sparkSession
     asked = spark.createDataFrame(list(enumerate(references)), "pos int, ref string")
-    by_id = asked.where(is_id("ref")).join(structs.select("id"), F.col("ref") == F.col("id"), "left")
-    by_uid = asked.where(~is_id("ref")).join(structs.select("id", "uid"), F.col("ref") == F.col("uid"), "left").drop("uid")
+    by_id = asked.where(is_id("ref")).join(structs.select("id", "uid"), F.col("ref") == F.col("id"), "left")
+    by_uid = asked.where(~is_id("ref")).join(structs.select("id", "uid"), F.col("ref") == F.col("uid"), "left")
     return by_id.unionByName(by_uid)
 
 
@@ -67,19 +67,24 @@ def inspect(structs: DataFrame, edges: DataFrame, references: list[str], include
     body, start_line, end_line, inbound, outbound, parent_id, error``.
 
     Children of children show for files, directories and classes alone; bodies only for the asked structs and on
-    request. What is not found gives one row with ``error``. Dependencies are gathered of the structs shown only.
+    request. What is not found gives one row with ``error``. Dependencies are gathered of the structs shown only, by uid
+    where the edges have ``source_uid`` and ``target_uid``. Children are told by their parents' ids and, if the structs
+    have ``parent_uid``, uids.
     """
     found = resolve_references(references, structs)
     full = structs.select("id", "uid", "type", "path", "signature", "description", "body", "start_line", "end_line", "parent_id")
-    top = found.join(full, "id", "left").withColumn("depth", F.lit(0)).withColumn("error", F.when(F.col("uid").isNull(), F.concat(F.lit("not found: "), F.col("ref"))))
-    slim = full.withColumn("body", F.lit(None).cast("string"))
+    top = found.join(full, ["id", "uid"], "left").withColumn("depth", F.lit(0)).withColumn("error", F.when(F.col("uid").isNull(), F.concat(F.lit("not found: "), F.col("ref"))))
+    slim = (structs if "parent_uid" in structs.columns else structs.withColumn("parent_uid", F.lit(None).cast("string"))).select(*full.columns, "parent_uid")
+    slim = slim.withColumn("body", F.lit(None).cast("string"))
+    known = F.coalesce(F.col("parent_uid") == F.col("above_uid"), F.lit(True))
     levels, above = [top if include_body else top.withColumn("body", F.lit(None).cast("string"))], top
     for depth in (1, 2):
-        opened = above.where(~F.col("type").isin(FIELD, METHOD)).select("pos", "ref", F.col("id").alias("above"))
-        above = slim.join(opened, F.col("parent_id") == F.col("above")).drop("above").withColumn("depth", F.lit(depth)).withColumn("error", F.lit(None).cast("string"))
+        opened = above.where(~F.col("type").isin(FIELD, METHOD)).select("pos", "ref", F.col("id").alias("above"), F.col("uid").alias("above_uid"))
+        above = slim.join(opened, (F.col("parent_id") == F.col("above")) & known).drop("above", "above_uid", "parent_uid").withColumn("depth", F.lit(depth)).withColumn("error", F.lit(None).cast("string"))
         levels.append(above.select(*levels[0].columns))
     out = Scratch(levels[0].unionByName(levels[1]).unionByName(levels[2]), "inspected").df
-    return out.join(graph.dependency_strings(edges, structs, out.where("id is not null")), "id", "left")
+    key = "uid" if "source_uid" in edges.columns else "id"
+    return out.join(graph.dependency_strings(edges, structs, out.where("id is not null"), key), key, "left")
 
 
 def single_child(structs: DataFrame) -> DataFrame:

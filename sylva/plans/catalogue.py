@@ -87,14 +87,25 @@ def struct_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaf_edges(view: DataFrame, spark: SparkSession, sf_dir: str, key: str = "id") -> DataFrame:
-    """``(source, target)`` ids (or uids, as ``key`` says): line to supplier."""
+    """``(source, target)`` ids (or, with another column of the view as ``key``, that column and uids): line to supplier."""
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     uid = F.format_string("R%d/N%d/S%d", "n_regionkey", "n_nationkey", "s_suppkey")
-    named = suppliers.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", (uid if key == "uid" else fn.struct_id(uid, F.lit("file"))).alias("target"))
+    named = suppliers.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", (fn.struct_id(uid, F.lit("file")) if key == "id" else uid).alias("target"))
     return view.where("ref is not null").join(named, F.col("ref") == F.col("s_suppkey")).select(F.col(key).alias("source"), "target")
 
 
+def by_uid(view: DataFrame) -> DataFrame:
+    """The view with uids for ids: ids are ten hex digits, which two of some million structs have in common."""
+    return view.withColumn("id", F.col("uid")).withColumn("parent_id", F.col("parent_uid"))
+
+
+def named_edges(view: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(source_id, target_id, edge_type, source_uid, target_uid)`` of lines to suppliers."""
+    edges = leaf_edges(view.withColumn("ends", F.struct("id", "uid")), spark, sf_dir, "ends").withColumn("target_uid", F.col("target"))
+    return edges.select(F.col("source.id").alias("source_id"), fn.struct_id("target_uid", F.lit("file")).alias("target_id"), F.lit("depends_on").alias("edge_type"), F.col("source.uid").alias("source_uid"), "target_uid")
+
+
 def id_sql(uid: str, kind: str) -> str:
     return f"(CASE {kind} WHEN 'directory' THEN 'D' WHEN 'file' THEN 'F' WHEN 'class' THEN 'C' WHEN 'method' THEN 'M' ELSE 'V' END || '-' || substr(md5({uid}), 1, 10))"
 
@@ -258,7 +269,7 @@ def skeleton_files_only(spark, sf_dir):
 FROM customers LEFT JOIN ords ON ords.parent_uid = customers.uid LEFT JOIN lines ON lines.parent_uid = ords.uid GROUP BY customers.uid""")
 def inspect_rollup(spark, sf_dir):
     """Two levels below every customer, gathered."""
-    view = save(struct_view(spark, sf_dir).where("type <> 'directory'").select("id", "uid", "type", "parent_id"), "view")
+    view = save(by_uid(struct_view(spark, sf_dir)).where("type <> 'directory'").select("id", "uid", "type", "parent_id"), "view")
     counts = view.where("type = 'method'").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("k"))
     classes = view.where("type = 'class'").join(counts, "id", "left").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_classes"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_methods"), F.array_join(F.sort_array(F.collect_list("uid")), ",").alias("classes"))
     files = view.where("type = 'file'").where(F.substring_index("uid", "/", -1).startswith("C"))
@@ -273,7 +284,7 @@ def inspect_references(spark, sf_dir):
 
     view = struct_view(spark, sf_dir)
     asked = ["R1/N1", "D-" + hashlib.md5(b"R0").hexdigest()[:10], "nothing"]
-    return tree.resolve_references(asked, view).join(view.select("id", "uid"), "id", "left").select("pos", "ref", "id", "uid")
+    return tree.resolve_references(asked, view).select("pos", "ref", "id", "uid")
 
 
 @query("SELECT conv_id, role, min(turn) AS turn, min(md5(text)) AS text_md5 FROM conversations GROUP BY conv_id, role HAVING count(*) = 1")
@@ -338,10 +349,9 @@ o AS (SELECT s AS id, md5(string_agg(mark || t || '|' || target, ',' ORDER BY ma
 i AS (SELECT t AS id, md5(string_agg(mark || s || '|' || source, ',' ORDER BY mark || s || '|' || source)) AS h FROM said GROUP BY 1)
 SELECT coalesce(o.id, i.id) AS id, coalesce(i.h, md5('')) AS inbound_md5, coalesce(o.h, md5('')) AS outbound_md5 FROM o FULL JOIN i ON o.id = i.id""")
 def dependency_strings(spark, sf_dir):
-    view = save(struct_view(spark, sf_dir).select("id", "uid", "type", "ref"), "view")
-    leaf = leaf_edges(view, spark, sf_dir).join(view.select(F.col("id").alias("source"), "uid"), "source")
-    kind = F.when(F.substring("uid", -1, 1).cast("int") % 2 == 0, "depends_on").otherwise("depends_on_fuzzy")
-    edges = leaf.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), kind.alias("edge_type"))
+    view = struct_view(spark, sf_dir).select("id", "uid", "ref")
+    kind = F.when(F.substring("source_uid", -1, 1).cast("int") % 2 == 0, "depends_on").otherwise("depends_on_fuzzy")
+    edges = save(named_edges(view, spark, sf_dir).withColumn("edge_type", kind), "edges")
     said = graph.dependency_strings(edges, view)
     return said.select("id", F.md5(F.array_join("inbound", ",")).alias("inbound_md5"), F.md5(F.array_join("outbound", ",")).alias("outbound_md5"))
 
@@ -349,21 +359,19 @@ def dependency_strings(spark, sf_dir):
 @query(f"WITH {VIEW} SELECT source, target FROM leaf JOIN suppliers ON target = uid WHERE s_acctbal >= 0")
 def edge_endpoints_exist(spark, sf_dir):
     """Line edges whose supplier is still there after those in debt are taken out."""
-    view = save(struct_view(spark, sf_dir), "view")
-    edges = leaf_edges(view, spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"))
+    view = save(by_uid(struct_view(spark, sf_dir)).select("id", "uid", "type", "ref"), "view")
+    edges = leaf_edges(view, spark, sf_dir, "uid").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"))
     debt = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("S"), "s_suppkey").alias("leaf"))
     there = view.join(debt, (F.col("type") == "file") & (F.substring_index("uid", "/", -1) == F.col("leaf")), "left_anti")
-    kept = graph.with_endpoints(edges, there)
-    uid = view.select("id", "uid")
-    return kept.join(uid.select(F.col("id").alias("source_id"), F.col("uid").alias("source")), "source_id").join(uid.select(F.col("id").alias("target_id"), F.col("uid").alias("target")), "target_id").select("source", "target")
+    return graph.with_endpoints(edges, there).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
 
 
 @query(f"""WITH {VIEW}, kept AS (SELECT * FROM structs WHERE NOT (uid = 'R1/N1' OR starts_with(uid, 'R1/N1/')))
 SELECT 'structs' AS what, count(*) AS n FROM kept UNION ALL SELECT 'edges', (SELECT count(*) FROM leaf WHERE source IN (SELECT uid FROM kept) AND target IN (SELECT uid FROM kept))
  + (SELECT count(*) FROM kept WHERE parent_uid IN (SELECT uid FROM kept))""")
 def delete_subtree(spark, sf_dir):
-    view = save(struct_view(spark, sf_dir).select("id", "path", "parent_id", "ref"), "view")
-    deps = leaf_edges(view, spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
+    view = save(by_uid(struct_view(spark, sf_dir)).select("id", "path", "parent_id", "ref"), "view")
+    deps = leaf_edges(view.withColumn("uid", F.col("id")), spark, sf_dir, "uid").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
     vectors = view.select(F.col("id").alias("struct_id"))
     structs, edges, _ = reuse.drop_subtree(view, graph.all_edges(view, deps), vectors, "R1/N1")
     return structs.agg(F.count("*").alias("n")).select(F.lit("structs").alias("what"), "n").unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
@@ -373,8 +381,8 @@ def delete_subtree(spark, sf_dir):
 UNION ALL SELECT 'orphan_vectors', count(*) FROM suppliers WHERE s_acctbal < 0""")
 def orphan_check(spark, sf_dir):
     """What would dangle if suppliers in debt went and nothing else."""
-    view = save(struct_view(spark, sf_dir), "view")
-    deps = leaf_edges(view, spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
+    view = save(by_uid(struct_view(spark, sf_dir)).select("id", "uid", "type", "ref"), "view")
+    deps = leaf_edges(view, spark, sf_dir, "uid").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("depends_on").alias("edge_type"))
     debt = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("S"), "s_suppkey").alias("leaf"))
     there = view.join(debt, (F.col("type") == "file") & (F.substring_index("uid", "/", -1) == F.col("leaf")), "left_anti")
     return graph.orphans(there, deps, view.select(F.col("id").alias("struct_id")))
