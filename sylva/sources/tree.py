@@ -117,15 +117,20 @@ def read_tree(spark: SparkSession, root: str, language: str | None = None, below
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
-    """Parsed rows of ``(path, body binary)`` rows, in Arrow batches; unsupported extensions give nothing."""
+    """Parsed rows of ``(path, body binary)`` rows, in Arrow batches; unsupported extensions give nothing.
+
+    The sources are dealt out first: parsing takes far longer than moving them, and a small table, or one of few row
+    groups, may hold a lot of files in one partition."""
     import pandas as pd
 
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def work(frames):
         for f in frames:
             rows = [r for path, body in zip(f["path"], f["body"]) if language_of(path) for r in parse_bytes(path, bytes(body))]
             yield pd.DataFrame([as_tuple(r) for r in rows], columns=PARSED.fieldNames())
 
-    return sources.select("path", "body").mapInPandas(work, PARSED)
+    return sources.select("path", "body").repartition(tasks, "path").mapInPandas(work, PARSED)
 
 
 def ancestors(paths: list[str], name: str) -> list[dict]:
